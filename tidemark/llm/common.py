@@ -92,21 +92,23 @@ def prime_from(n: int) -> int:
     return n
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(_key long, _ord int, _text binary) of docs, and the bytes of all texts.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, int]:
+    """(_key long, _ord int, _text binary) of docs (keep: after all its own columns), and the bytes of all texts.
 
     _key is the id (NULL_ID for null), _ord numbers the rows that repeat an id by the order of their texts (0 where
     ids are unique, which one cheap pass over ids and lengths tells, so that texts are shuffled only if need be).
     Null texts are empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_key"), text.alias("_text"))
+    own = [F.col(f"`{c}`") for c in docs.columns] if keep else []
+    rows = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_key"), text.alias("_text"))
     found = rows.groupBy("_key").agg(F.count("*").alias("n"), F.sum(F.octet_length("_text")).alias("b")).agg(F.max("n"), F.sum("b")).first()
     if (found[0] or 0) <= 1:
-        return rows.select("_key", F.lit(0).alias("_ord"), "_text"), int(found[1] or 0)
-    from pyspark.sql import Window
+        number = F.lit(0)
+    else:
+        from pyspark.sql import Window
 
-    order = Window.partitionBy("_key").orderBy("_text")
-    return rows.select("_key", (F.row_number().over(order) - 1).cast("int").alias("_ord"), "_text"), int(found[1])
+        number = (F.row_number().over(Window.partitionBy("_key").orderBy("_text")) - 1).cast("int")
+    return rows.select(*own, "_key", number.alias("_ord"), "_text"), int(found[1] or 0)
 
 
 def id_of(key):
