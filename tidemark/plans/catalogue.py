@@ -1,9 +1,590 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-def oracle_sql():
-    return {}
+from tidemark.functions import wrapping as W
+from tidemark.operators import crdt, incremental, sketch, small, versioned
+from tidemark.sources import formats
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as an op log: an error deletes its user's key, anything else puts its value."""
+    e = table(spark, sf_dir, "events")
+    gone = F.col("event_type") == "error"
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), gone.alias("tombstone"), F.when(~gone, F.col("value")).alias("value"))
+
+
+_LOG = "log AS (SELECT user_id AS key, event_id AS seq, event_type = 'error' AS tombstone, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)"
+_LAST = "last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log)"
+
+
+# ---- versioned tables
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, seq, value FROM last WHERE rn = 1 AND NOT tombstone AND key >= 10 AND key < 1000")
+def lsm_scan_latest(spark, d):
+    return versioned.scan(event_log(spark, d), 10, 1000).select("key", "seq", "value")
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, seq, value FROM last WHERE rn = 1 AND NOT tombstone AND key IN (1, 3, 7, 12, 999999)")
+def lsm_get_points(spark, d):
+    return versioned.get(event_log(spark, d), [1, 3, 7, 12, 999999]).select("key", "seq", "value")
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, seq, value FROM last WHERE rn = 1 AND NOT tombstone")
+def lsm_scan_open_bounds(spark, d):
+    return versioned.scan(event_log(spark, d)).select("key", "seq", "value")
+
+
+_GEN = "bounds AS (SELECT min(event_id) AS lo, (max(event_id) - min(event_id)) // 4 + 1 AS w FROM events), g AS (SELECT log.*, ((seq - lo) // w)::INTEGER AS gen FROM log, bounds)"
+_RUN = "r AS (SELECT *, row_number() OVER (PARTITION BY gen, key ORDER BY seq DESC) AS rn FROM g)"
+
+
+def _runs(spark, d):
+    return versioned.generations(event_log(spark, d), 4)
+
+
+@query(f"WITH {_LOG}, {_GEN}, {_RUN} SELECT key, seq, tombstone, value FROM r WHERE rn = 1 AND gen = 1 AND key >= 5 AND key < 60")
+def lsm_run_range(spark, d):
+    one = _runs(spark, d).filter("gen = 1").drop("gen").filter(versioned.in_range(F.col("key"), 5, 60))
+    return versioned.flush(one).select("key", "seq", "tombstone", "value")
+
+
+@query(f"WITH {_LOG}, {_GEN}, {_RUN} SELECT gen, key, seq, tombstone, value FROM r WHERE rn = 1")
+def lsm_flush_gen(spark, d):
+    g = _runs(spark, d)
+    return g.groupBy("gen", "key").agg(F.max_by(F.struct("seq", "tombstone", "value"), "seq").alias("e")).select("gen", "key", "e.seq", "e.tombstone", "e.value")
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, seq, value FROM last WHERE rn = 1 AND NOT tombstone")
+def lsm_compact(spark, d):
+    return versioned.compact(lsm_flush_gen(spark, d)).select("key", "seq", "value")
+
+
+@query(f"WITH {_LOG}, {_GEN}, {_RUN} SELECT gen, count(*)::BIGINT AS n_entries, count(*) FILTER (WHERE tombstone)::BIGINT AS n_tombstones, min(key) AS low_key, max(key) AS high_key FROM r WHERE rn = 1 GROUP BY gen")
+def lsm_run_stats(spark, d):
+    return lsm_flush_gen(spark, d).groupBy("gen").agg(
+        F.count("*").alias("n_entries"), F.sum(F.col("tombstone").cast("long")).alias("n_tombstones"), F.min("key").alias("low_key"), F.max("key").alias("high_key"),
+    )
+
+
+@query(
+    "WITH l AS (SELECT 'u' || user_id AS key, CASE WHEN event_type <> 'error' THEN event_type || event_id END AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) "
+    "SELECT sum(strlen(key) + coalesce(strlen(value), 0) + 24)::BIGINT AS bytes, count(*)::BIGINT AS n_keys FROM l WHERE rn = 1"
+)
+def lsm_memtable_bytes(spark, d):
+    e = table(spark, d, "events")
+    log = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "error", F.concat("event_type", F.col("event_id").cast("string"))).alias("value"))
+    return versioned.latest(log).agg(F.sum(versioned.entry_bytes(F.col("key"), F.col("value"))).cast("long").alias("bytes"), F.count("*").alias("n_keys"))
+
+
+@query("SELECT event_id AS seq, user_id AS key, event_type = 'error' AS tombstone, CASE WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_id > (SELECT max(event_id) / 2 FROM events)")
+def wal_replay(spark, d):
+    log = event_log(spark, d)
+    low = log.agg((F.max("seq") / 2).alias("low"))
+    return log.join(F.broadcast(low), F.col("seq") > F.col("low")).select("seq", "key", "tombstone", "value")
+
+
+@query("SELECT o_orderkey, pos FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE pos % 64 = 0")
+def lsm_sparse_index(spark, d):
+    return versioned.sparse_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.col("pos").cast("long").alias("pos"))
+
+
+@query(
+    "WITH i AS (SELECT o_orderkey AS k FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE pos % 64 = 0), p AS (SELECT p_partkey * 7 - 3 AS probe FROM part) "
+    "SELECT probe, k AS floor_key FROM p ASOF LEFT JOIN i ON p.probe >= i.k"
+)
+def lsm_floor_probe(spark, d):
+    index = versioned.sparse_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return versioned.floor_probe(table(spark, d, "part").select((F.col("p_partkey") * 7 - 3).alias("probe")), index, "probe", "o_orderkey")
+
+
+@query(f"WITH {_LOG} SELECT key, seq, value, lag(value) OVER (PARTITION BY key ORDER BY seq) AS previous FROM log QUALIFY NOT tombstone")
+def kv_put_previous(spark, d):
+    return versioned.with_previous(event_log(spark, d)).filter(~F.col("tombstone")).select("key", "seq", "value", "previous")
+
+
+@query(f"WITH {_LOG} SELECT key, seq, lag(value) OVER (PARTITION BY key ORDER BY seq) AS removed FROM log QUALIFY tombstone")
+def kv_removed_value(spark, d):
+    return versioned.with_previous(event_log(spark, d)).filter("tombstone").select("key", "seq", F.col("previous").alias("removed"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey = 77")
+def btree_get(spark, d):
+    return table(spark, d, "part").filter("p_partkey = 77").select("p_partkey", "p_name")
+
+
+@query("SELECT DISTINCT l_partkey + 900 AS probe, l_partkey + 900 IN (SELECT p_partkey FROM part) AS found FROM lineitem")
+def btree_contains(spark, d):
+    probes = table(spark, d, "lineitem").select((F.col("l_partkey") + 900).alias("probe")).distinct()
+    keys = table(spark, d, "part").select("p_partkey")
+    return probes.join(keys, F.col("probe") == F.col("p_partkey"), "left").select("probe", F.col("p_partkey").isNotNull().alias("found"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
+def btree_range(spark, d):
+    return table(spark, d, "orders").filter(versioned.in_range(F.col("o_orderkey"), 100, 900)).select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def btree_entries(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_partkey")
+
+
+@query("SELECT count(*)::BIGINT AS n_entries, count(DISTINCT o_orderkey)::BIGINT AS n_keys, count(*) FILTER (WHERE o_orderkey IS NULL)::BIGINT AS n_null, 0::BIGINT AS n_repeated FROM orders")
+def btree_audit(spark, d):
+    return versioned.audit(table(spark, d, "orders"), "o_orderkey")
+
+
+@query("WITH b AS (SELECT p_partkey AS low, lead(p_partkey) OVER (ORDER BY p_partkey) AS high FROM part WHERE p_partkey % 100 = 1) SELECT low, count(l_partkey)::BIGINT AS n FROM b JOIN lineitem ON l_partkey >= low AND (l_partkey < high OR high IS NULL) GROUP BY low")
+def btree_leaf_lookup(spark, d):
+    bounds = table(spark, d, "part").filter("p_partkey % 100 = 1").select("p_partkey")
+    keys = table(spark, d, "lineitem").groupBy("l_partkey").count()
+    found = versioned.floor_probe(keys.select("l_partkey"), bounds, "l_partkey", "p_partkey").filter("floor_key is not null")
+    return found.join(keys, "l_partkey").groupBy(F.col("floor_key").alias("low")).agg(F.sum("count").cast("long").alias("n"))
+
+
+# ---- sketches
+
+
+def _wrapped(x: str, k: int) -> str:
+    return f"((({x})::UHUGEINT * {k}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _mix_steps(source: str, keep: str, item: str) -> str:
+    """CTEs that end in h(keep, h UBIGINT) from source(keep, item)."""
+    keep = keep and keep + ", "
+    return (
+        f"z0 AS (SELECT {keep}((({item})::UHUGEINT + {W.GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM {source}), "
+        f"z1 AS (SELECT {keep}{_wrapped('xor(z, z >> 30)', W.SPLIT_1)} AS z FROM z0), "
+        f"z2 AS (SELECT {keep}{_wrapped('xor(z, z >> 27)', W.SPLIT_2)} AS z FROM z1), "
+        f"h AS (SELECT {keep}xor(z, z >> 31) AS h FROM z2)"
+    )
+
+
+def _registers_sql(p: int, keep: str = "") -> str:
+    low = 2 ** (64 - p)
+    rank = f"CASE WHEN h % {low} = 0 THEN {64 - p + 1} ELSE {64 - p} - length(bin(h % {low})) + 1 END"
+    by = keep and keep + ", "
+    return f"reg AS (SELECT {by}(h // {low})::INTEGER AS idx, max({rank})::INTEGER AS rank FROM h GROUP BY {by}(h // {low})::INTEGER)"
+
+
+def _estimate_sql(p: int, keep: str = "", source: str = "reg") -> str:
+    m, by = 2**p, keep and keep + ", "
+    total = f"(SELECT {by}sum(n * pow(2.0, -rank)) AS s, sum(n) AS n FROM (SELECT {by}rank, count(*) AS n FROM {source} GROUP BY {by}rank)" + (f" GROUP BY {keep}" if keep else "") + ")"
+    raw = f"({sketch.alpha(m) * m * m!r} / (coalesce(s, 0) + {m} - coalesce(n, 0)))"
+    return f"SELECT {by}floor(CASE WHEN {raw} <= {2.5 * m} AND {m} - coalesce(n, 0) > 0 THEN {m}.0::DOUBLE * ln({m}.0::DOUBLE / ({m} - coalesce(n, 0))::DOUBLE) ELSE {raw} END + 0.5)::BIGINT AS estimate FROM {total}"
+
+
+@query(f"WITH {_mix_steps('lineitem', '', 'l_partkey')}, {_registers_sql(8)} SELECT * FROM reg")
+def hll_registers(spark, d):
+    return sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_partkey")), 8)
+
+
+@query(f"WITH {_mix_steps('lineitem', '', 'l_partkey')}, {_registers_sql(8)} {_estimate_sql(8)}")
+def hll_estimate(spark, d):
+    return sketch.estimate(hll_registers(spark, d), 8)
+
+
+@query(f"WITH {_mix_steps('lineitem', '', 'l_orderkey')}, {_registers_sql(10)} {_estimate_sql(10)}")
+def hll_estimate_harmonic(spark, d):
+    return sketch.estimate(sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_orderkey")), 10), 10)
+
+
+@query(f"WITH {_mix_steps('lineitem', 'l_returnflag', 'l_partkey')}, {_registers_sql(14, 'l_returnflag')} {_estimate_sql(14, 'l_returnflag')}")
+def hll_group_estimate(spark, d):
+    by = ("l_returnflag",)
+    return sketch.estimate(sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_partkey")), 14, by), 14, by)
+
+
+def _shards(spark, d):
+    return sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_partkey")), 12, ("l_returnflag",))
+
+
+_SHARDS = f"{_mix_steps('lineitem', 'l_returnflag', 'l_partkey')}, {_registers_sql(12, 'l_returnflag')}"
+
+
+@query(f"WITH {_SHARDS}, u AS (SELECT idx, max(rank) AS rank FROM reg GROUP BY idx) {_estimate_sql(12, source='u')}")
+def hll_union(spark, d):
+    return sketch.estimate(sketch.merge(_shards(spark, d).select("idx", "rank")), 12)
+
+
+@query(f"WITH {_SHARDS} SELECT sum(estimate)::BIGINT AS naive_sum FROM ({_estimate_sql(12, 'l_returnflag')})")
+def hll_naive_sum(spark, d):
+    return sketch.estimate(_shards(spark, d), 12, ("l_returnflag",)).agg(F.sum("estimate").alias("naive_sum"))
+
+
+def _bytes_sql(c: str) -> str:
+    return f"list_transform(range(strlen({c})), lambda i: ('0x' || substr(hex({c}), 2 * i::INTEGER + 1, 2))::UBIGINT)"
+
+
+def _fnv_sql(c: str, seed: int = 0) -> str:
+    step = f"(((xor(h, b))::UHUGEINT * {W.FNV_PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"list_reduce({_bytes_sql(c)}, lambda h, b: {step}, {(seed ^ W.FNV_OFFSET) % 2**64}::UBIGINT)"
+
+
+@query(f"WITH f AS (SELECT {_fnv_sql('c_name')} AS v FROM customer), {_mix_steps('f', '', 'v')}, {_registers_sql(12)} {_estimate_sql(12)}")
+def hll_strings(spark, d):
+    return sketch.estimate(sketch.registers(table(spark, d, "customer"), W.hash_bytes(F.col("c_name")), 12), 12)
+
+
+@query(
+    f"WITH {_SHARDS}, e AS ({_estimate_sql(12, 'l_returnflag')}), x AS (SELECT l_returnflag, count(DISTINCT l_partkey) AS exact FROM lineitem GROUP BY l_returnflag) "
+    "SELECT count(*)::BIGINT AS n_shards, sqrt(avg(pow((estimate - exact) / exact::DOUBLE, 2))) < 0.0488 AS within_three_errors, median(exact)::DOUBLE AS median_exact FROM e JOIN x USING (l_returnflag)"
+)
+def hll_error_report(spark, d):
+    e = sketch.estimate(_shards(spark, d), 12, ("l_returnflag",))
+    x = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    rel = (F.col("estimate") - F.col("exact")) / F.col("exact")
+    return e.join(x, "l_returnflag").agg(F.count("*").alias("n_shards"), (F.sqrt(F.avg(rel * rel)) < 0.0488).alias("within_three_errors"), F.percentile("exact", F.lit(0.5)).alias("median_exact"))
+
+
+@query("SELECT count(DISTINCT l_partkey)::BIGINT AS n FROM lineitem")
+def exact_distinct(spark, d):
+    return table(spark, d, "lineitem").agg(F.count_distinct("l_partkey").alias("n"))
+
+
+_BITS = "greatest(64, ceil(-n * ln(0.01) / (ln(2) * ln(2))))::BIGINT"
+
+
+@query(f"SELECT n, {_BITS} AS bits, greatest(1, floor({_BITS} / n * ln(2) + 0.5))::BIGINT AS hashes FROM (SELECT count(*)::BIGINT AS n FROM supplier)")
+def bloom_params(spark, d):
+    bits = F.greatest(F.lit(64), F.ceil(-F.col("n") * F.log(F.lit(0.01)) / (F.log(F.lit(2.0)) * F.log(F.lit(2.0))))).cast("long")
+    sized = table(spark, d, "supplier").agg(F.count("*").alias("n")).withColumn("bits", bits)
+    return sized.withColumn("hashes", F.greatest(F.lit(1), F.floor(F.col("bits") / F.col("n") * F.log(F.lit(2.0)) + 0.5)).cast("long"))
+
+
+BLOOM = sketch.bloom_size(1000, 0.01)  # fixed, so that every size of supplier gives the same filter
+
+
+def _bloom(spark, d):
+    keys = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("key"))
+    return sketch.bloom_words(sketch.bloom_positions(keys, F.col("key"), *BLOOM))
+
+
+def _positions_sql(source: str, key: str) -> str:
+    def mixed(n: int) -> str:
+        f = f"f{n}"
+        inner = _wrapped(f"xor({f}, {f} >> 33)", W.BLOOM_MULTIPLIER)
+        return f"xor({inner}, {inner} >> 33)"
+
+    bit = f"((((a::UHUGEINT + (b::UHUGEINT * i::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT)::HUGEINT - CASE WHEN ((a::UHUGEINT + (b::UHUGEINT * i::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT) >= 9223372036854775808::UHUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END) % {BLOOM[0]} + {BLOOM[0]}) % {BLOOM[0]}"
+    return (
+        f"fn AS (SELECT {key} AS key, {_fnv_sql(key, W.BLOOM_SEEDS[0])} AS f0, {_fnv_sql(key, W.BLOOM_SEEDS[1])} AS f1 FROM {source}), "
+        f"ab AS (SELECT key, {mixed(0)} AS a, {mixed(1)} AS b FROM fn), "
+        f"pos AS (SELECT key, ({bit})::BIGINT AS pos FROM (SELECT key, a, b, unnest(range({BLOOM[1]})) AS i FROM ab))"
+    )
+
+
+_SUPPLIERS = "k AS (SELECT s_suppkey::VARCHAR AS key FROM supplier)"
+
+
+@query(f"WITH {_SUPPLIERS}, {_positions_sql('k', 'key')}, one AS (SELECT DISTINCT pos FROM pos) SELECT (pos // 64)::INTEGER AS word, sum(CASE WHEN pos % 64 = 63 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << (pos % 64)::INTEGER END)::BIGINT AS bits FROM one GROUP BY 1")
+def bloom_bits(spark, d):
+    return _bloom(spark, d)
+
+
+_PROBES = "p AS (SELECT DISTINCT l_suppkey::VARCHAR AS key FROM lineitem UNION SELECT (l_suppkey + 5000000)::VARCHAR FROM lineitem)"
+
+
+@query(f"WITH {_SUPPLIERS}, {_PROBES}, every AS (SELECT key FROM k UNION SELECT key FROM p), {_positions_sql('every', 'key')}, bits AS (SELECT DISTINCT pos FROM pos JOIN k USING (key)) SELECT key, min(CASE WHEN bits.pos IS NULL THEN 0 ELSE 1 END)::INTEGER AS maybe FROM pos JOIN p USING (key) LEFT JOIN bits ON pos.pos = bits.pos GROUP BY key")
+def bloom_probe(spark, d):
+    keys = table(spark, d, "lineitem").select("l_suppkey").distinct()
+    probes = keys.select(F.col("l_suppkey").cast("string").alias("key")).union(keys.select((F.col("l_suppkey") + 5000000).cast("string")))
+    return sketch.bloom_probe(sketch.bloom_positions(probes, F.col("key"), *BLOOM, "key"), _bloom(spark, d), "key")
+
+
+# ---- conflict-free types
+
+
+def _counters(spark, d):
+    e = table(spark, d, "events")
+    plus = F.sum((F.col("event_type") != "error").cast("long"))
+    return e.groupBy(F.col("event_type").alias("counter"), (F.col("user_id") % 3).cast("string").alias("replica")).agg(F.count("*").alias("p"), (F.count("*") - plus).alias("n"))
+
+
+_COUNTERS = "c AS (SELECT event_type AS counter, (user_id % 3)::VARCHAR AS replica, count(*)::BIGINT AS p, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS n FROM events GROUP BY 1, 2)"
+
+
+@query(f"WITH {_COUNTERS} SELECT counter, sum(p)::BIGINT AS value FROM c GROUP BY counter")
+def gcounter_value(spark, d):
+    return crdt.counter_value(_counters(spark, d).withColumn("n", F.lit(0).cast("long")))
+
+
+@query(f"WITH {_COUNTERS} SELECT counter, replica, p AS value FROM c")
+def gcounter_merge(spark, d):
+    state = _counters(spark, d)
+    stale = state.withColumns({"p": F.floor(F.col("p") / 2), "n": F.lit(0).cast("long")})
+    return crdt.counter_merge(stale, state, state).select("counter", "replica", F.col("p").alias("value"))
+
+
+@query(f"WITH {_COUNTERS} SELECT counter, sum(p - n)::BIGINT AS value FROM c GROUP BY counter")
+def pncounter_value(spark, d):
+    return crdt.counter_value(_counters(spark, d))
+
+
+def _sets(spark, d):
+    """Element: user; every event but an error adds a tag, an error retires the tags seen before it."""
+    e = table(spark, d, "events")
+    adds = e.filter("event_type <> 'error'").select(F.col("user_id").alias("element"), F.concat((F.col("user_id") % 3).cast("string"), F.lit(":"), F.col("event_id").cast("string")).alias("tag"), "event_id")
+    last = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("element")).agg(F.max("event_id").alias("seen"))
+    removed = adds.join(last, "element").filter("event_id < seen").select("tag")
+    return adds.select("element", "tag"), removed
+
+
+_SETS = "a AS (SELECT user_id AS element, event_id FROM events WHERE event_type <> 'error'), x AS (SELECT user_id AS element, max(event_id) AS seen FROM events WHERE event_type = 'error' GROUP BY 1), live AS (SELECT a.* FROM a LEFT JOIN x USING (element) WHERE seen IS NULL OR event_id > seen)"
+
+
+@query(f"WITH {_SETS} SELECT DISTINCT element FROM live")
+def orset_values(spark, d):
+    return crdt.set_values(*_sets(spark, d))
+
+
+@query(f"WITH {_SETS} SELECT element, count(*)::BIGINT AS n_tags FROM live GROUP BY element")
+def orset_merge(spark, d):
+    adds, removed = _sets(spark, d)
+    half = adds.filter(F.substring_index("tag", ":", 1) == "0"), removed.limit(0)
+    adds, removed = crdt.set_merge((adds, removed), half)
+    return adds.join(removed, "tag", "left_anti").groupBy("element").agg(F.count("*").alias("n_tags"))
+
+
+def _ops(spark, d, missing: bool = False):
+    """conversations as ops: turn t is inserted after turn t div 2 - 1 (turn 0: the root) with clock t + 1; system turns are deleted."""
+    c = table(spark, d, "conversations").filter("turn is not null and conv_id is not null")
+    clock, parent = F.col("turn") + 1, F.floor((F.col("turn") + 1) / 2)
+    rep = F.concat(F.lit("r"), (F.col("turn") % 2).cast("string"))
+    parent_rep = F.concat(F.lit("r"), ((F.greatest(parent, F.lit(1)) - 1) % 2).cast("string"))
+    ins = c.select(F.col("conv_id").alias("doc"), F.lit("ins").alias("type"), clock.alias("c"), rep.alias("r"), F.when(F.col("turn") == 0, "").otherwise(F.concat(parent.cast("string"), F.lit(":"), parent_rep)).alias("after"), F.lit(None).cast("string").alias("target"), F.col("role").alias("value"))
+    if missing:
+        return ins.filter("c <> 2")
+    gone = c.filter("turn % 5 = 3").select(F.col("conv_id").alias("doc"), F.lit("del").alias("type"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("string").alias("r"), F.lit(None).cast("string").alias("after"), F.concat(clock.cast("string"), F.lit(":"), rep).alias("target"), F.lit(None).cast("string").alias("value"))
+    return ins.unionByName(gone).unionByName(ins.filter("c % 3 = 0"))  # some come twice
+
+
+_TREE = (
+    "t AS (SELECT DISTINCT conv_id AS doc, turn, turn + 1 AS c, (turn + 1) // 2 AS up, role AS value FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL), "
+    "w(doc, c, path, value, turn) AS (SELECT doc, c, [-c], value, turn FROM t WHERE turn = 0 UNION ALL SELECT t.doc, t.c, list_append(w.path, -t.c), t.value, t.turn FROM t JOIN w ON t.doc = w.doc AND t.up = w.c AND t.turn > 0), "
+    "o AS (SELECT doc, c, value, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS pos FROM w WHERE turn % 5 <> 3)"
+)
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT doc, c || ':r' || ((c - 1) % 2) AS key, pos::BIGINT AS pos FROM o")
+def rga_order(spark, d):
+    return crdt.sequence_order(_ops(spark, d)).filter("pos is not null").select("doc", "key", "pos")
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT doc, string_agg(value, '|' ORDER BY pos) AS text FROM o GROUP BY doc")
+def rga_text(spark, d):
+    return crdt.sequence_text(_ops(spark, d), "|")
+
+
+@query(
+    "WITH RECURSIVE t AS (SELECT DISTINCT conv_id AS doc, turn + 1 AS c, (turn + 1) // 2 AS up FROM conversations WHERE turn <> 1), "
+    "ok(doc, c) AS (SELECT doc, c FROM t WHERE c = 1 UNION ALL SELECT t.doc, t.c FROM t JOIN ok ON t.doc = ok.doc AND t.up = ok.c AND t.c > 1) "
+    "SELECT t.doc, t.c || ':r' || ((t.c - 1) % 2) AS key FROM t LEFT JOIN ok ON t.doc = ok.doc AND t.c = ok.c WHERE ok.c IS NULL"
+)
+def rga_pending(spark, d):
+    return crdt.sequence_order(_ops(spark, d, missing=True)).filter("pending").select("doc", "key")
+
+
+@query("SELECT conv_id AS doc, count(DISTINCT turn)::BIGINT AS n_nodes, max(turn + 1)::BIGINT AS clock FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY 1")
+def rga_dedup(spark, d):
+    ins = _ops(spark, d).filter("type = 'ins'").dropDuplicates(["doc", "c", "r"])
+    return ins.groupBy("doc").agg(F.count("*").alias("n_nodes"), F.max("c").alias("clock"))
+
+
+# ---- formats
+
+
+@query("SELECT o_orderkey::VARCHAR AS k, '\"' || o_orderpriority || '\", ' || o_orderstatus AS p, '' AS e FROM orders")
+def csv_roundtrip(spark, d):
+    text = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('", '), F.col("o_orderstatus"))
+    row = F.struct(F.col("o_orderkey").alias("k"), text.alias("p"), F.lit("").alias("e"))
+    line = table(spark, d, "orders").select(F.to_csv(row, {"escape": '"', "quoteAll": "true"}).alias("line"))
+    return line.select(formats.csv_fields(F.col("line"), "k string, p string, e string").alias("f")).select("f.*")
+
+
+@query("SELECT sum(o_orderkey * 3)::BIGINT AS total FROM orders")
+def csv_third_sum(spark, d):
+    line = table(spark, d, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", (F.col("o_orderkey") * 3).cast("string")).alias("line"))
+    fields = line.select(formats.csv_fields(F.col("line"), "a string, b string, c string").alias("f"))
+    return fields.agg(F.sum(F.col("f.c").try_cast("long")).alias("total"))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE o_orderkey % 2 = 0)::BIGINT AS n_int, count(*)::BIGINT AS n_double FROM orders")
+def csv_try_parse(spark, d):
+    c = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".5")))
+    rows = table(spark, d, "orders").select(c.alias("x"))
+    return rows.agg(F.count("*").alias("n"), F.count(formats.to_int(F.col("x"))).alias("n_int"), F.count(formats.to_double(F.col("x"))).alias("n_double"))
+
+
+@query("SELECT o_orderkey, r::INTEGER AS row, CASE r WHEN 0 THEN o_orderstatus || chr(10) || 'x' WHEN 2 THEN 'last' ELSE '' END AS first, CASE r WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END::INTEGER AS n_fields FROM orders, range(3) AS t(r)")
+def csv_strict_rows(spark, d):
+    text = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('\nx",b\r\n\nlast,,'))
+    rows = formats.csv_rows(table(spark, d, "orders").select("o_orderkey", text.alias("t")), "t", "o_orderkey")
+    return rows.select("o_orderkey", "row", F.get("fields", F.lit(0)).alias("first"), F.size("fields").alias("n_fields"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_extract_string(props, '$.none') AS none FROM events")
+def json_find(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", formats.json_find(F.col("props"), "k").cast("long").alias("k"), formats.json_find(F.col("props"), "none").alias("none"))
+
+
+@query("SELECT event_id, 'object' AS kind, 'number' AS k_kind FROM events")
+def json_types(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", formats.json_kind(F.col("props")).alias("kind"), formats.json_kind(formats.json_find(F.col("props"), "k")).alias("k_kind"))
+
+
+@query("SELECT event_id, 1::INTEGER AS n_object, 2::INTEGER AS n_array, 0::INTEGER AS n_number FROM events")
+def json_size(spark, d):
+    e = table(spark, d, "events").select("event_id", "props")
+    pair = F.concat(F.lit("["), F.col("props"), F.lit(", null]"))
+    return e.select("event_id", formats.json_size(F.col("props")).alias("n_object"), formats.json_size(pair).alias("n_array"), formats.json_size(formats.json_find(F.col("props"), "k")).alias("n_number"))
+
+
+@query("SELECT event_id, event_id % 3 <> 0 AS ok FROM events")
+def json_strict(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(" 2"))).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", formats.strict_json(text)["ok"].alias("ok"))
+
+
+@query("SELECT doc_id, true AS same, 0::INTEGER AS err FROM documents")
+def codec_roundtrip(spark, d):
+    raw = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    back = raw.withColumn("z", formats.compress(F.col("raw"), 6)).withColumn("o", formats.decompress(F.col("z")))
+    return back.select("doc_id", (F.col("o.data") == F.col("raw")).alias("same"), F.col("o.err").alias("err"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def gzip_roundtrip(spark, d):
+    raw = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    back = raw.withColumn("z", formats.compress(F.col("raw"), 9, formats.GZIP)).withColumn("o", formats.decompress(F.col("z"), formats.GZIP))
+    return back.select("doc_id", (F.col("o.data") == F.col("raw")).alias("same"))
+
+
+@query()
+def crc32_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("crc"))
+
+
+@query("SELECT doc_id, (n + (n // 65535 + 1) * 5 + 8)::BIGINT AS bound FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+def deflate_bound(spark, d):
+    return table(spark, d, "documents").select("doc_id", formats.deflate_bound(F.octet_length("text").cast("long")).cast("long").alias("bound"))
+
+
+@query("SELECT symbol, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, '')) AS symbol FROM documents) WHERE symbol <> '' GROUP BY symbol")
+def deflate_symbols(spark, d):
+    each = table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("symbol")).filter("symbol <> ''")
+    return each.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+def _code_sql(c: str, bases: list[int]) -> str:
+    return f"greatest(0, len(list_filter({bases}, lambda b: b <= {c})) - 1)::INTEGER"
+
+
+@query(f"SELECT p_partkey, {_code_sql('(3 + p_partkey % 256)', formats.LENGTH_BASES)} AS length_code, {_code_sql('(1 + p_partkey % 32768)', formats.DISTANCE_BASES)} AS distance_code FROM part")
+def deflate_codes(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", formats.code_of(3 + F.col("p_partkey") % 256, formats.LENGTH_BASES).alias("length_code"), formats.code_of(1 + F.col("p_partkey") % 32768, formats.DISTANCE_BASES).alias("distance_code"))
+
+
+@query("SELECT p_partkey, ((xor(xor((p_partkey % 251) << 10, (p_partkey % 241) << 5), p_partkey % 239)) & 32767)::BIGINT AS h FROM part")
+def deflate_hash3(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", formats.hash3(k % 251, k % 241, k % 239).cast("long").alias("h"))
+
+
+# ---- incremental values
+
+
+@query("SELECT user_id AS node, event_id AS seq, floor(value / 50)::BIGINT AS value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id) QUALIFY row_number() OVER w = 1 OR floor(value / 50) IS DISTINCT FROM lag(floor(value / 50)) OVER w")
+def signal_changes(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 50).alias("value"))
+    return incremental.changes(e, "node", "seq", "value")
+
+
+@query("SELECT user_id AS node, event_id // 500 AS batch, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id DESC) = 1")
+def signal_batch_last(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"), "value")
+    return incremental.batch_last(e, "node", "seq", "value", 500)
+
+
+@query("SELECT event_id, event_id::DOUBLE AS sink FROM events")
+def diamond_consistent(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("event_id").cast("double").alias("sink"))
+    return incremental.diamond(e, "sink", 6)
+
+
+# ---- labels, counting, generators
+
+LABELS = [(1, "one"), (2, "two"), (3, "three"), (4, "four"), (2, "second")]
+_CASE = "CASE l_linenumber WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' WHEN 4 THEN 'four' ELSE l_linenumber::VARCHAR END"
+
+
+@query(f"SELECT {_CASE} AS label, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def enum_label(spark, d):
+    return table(spark, d, "lineitem").groupBy(small.label(F.col("l_linenumber"), LABELS).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_linenumber IN (1, 2, 3, 4) AS defined, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def enum_defined(spark, d):
+    return table(spark, d, "lineitem").groupBy(small.defined(F.col("l_linenumber"), LABELS).alias("defined")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 499999500000::BIGINT AS total")
+def parallel_sum(spark, d):
+    return spark.range(1_000_000).agg(F.sum("id").alias("total"))
+
+
+@query("SELECT count(*)::BIGINT AS total, 0::BIGINT AS repeated, 0::BIGINT AS missing FROM orders")
+def exactly_once(spark, d):
+    ids = table(spark, d, "orders").select("o_orderkey")
+    return small.exactly_once(ids.repartition(7), "o_orderkey", ids)
+
+
+@query("SELECT range AS value FROM range(10)")
+def generator_rows(spark, d):
+    return small.generator_rows(spark, 10)
+
+
+@query("SELECT user_id, sum(event_id + 1)::BIGINT AS total FROM events WHERE event_id % 100 < 5 GROUP BY user_id")
+def coroutine_fold(spark, d):
+    kept = table(spark, d, "events").filter("event_id % 100 < 5").groupBy("user_id").agg(F.collect_list("event_id").alias("xs"))
+    return kept.select("user_id", small.fold(F.col("xs"), lambda acc, x: acc + x + 1, F.lit(0).cast("long")).alias("total"))
+
+
+@query("SELECT CASE WHEN u = 0 THEN 0 ELSE least(15, length(bin(u))) END::INTEGER AS class, count(*)::BIGINT AS n FROM (SELECT floor(o_totalprice / 32)::BIGINT AS u FROM orders) GROUP BY 1")
+def size_class_hist(spark, d):
+    return table(spark, d, "orders").groupBy(small.size_class(F.col("o_totalprice")).alias("class")).agg(F.count("*").alias("n"))
