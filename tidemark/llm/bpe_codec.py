@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding through one global shuffle of distinct words.
 
-Each scan task splits bounded chunks of texts into pre-tokens and sends every distinct word of a chunk, with the
-positions where it stands there, to the word's shard (packed: one row per chunk and shard, positions as gaps in base-128
-bytes). A shard's task encodes each distinct word once and sends ids and positions back to the chunk, where the tokens
-are put in order again. Shards follow a hash of the word and carry packed positions, so that a word which makes up a
-third of all tokens costs a third of a byte stream in one shard per chunk, split further by chunk when the run has more
-partitions than shards. Neither texts nor ids are collected anywhere else.
+Each scan task splits bounded chunks of texts into pre-tokens. Every distinct word of a chunk goes to its shard (packed:
+one row per chunk and shard), where a task encodes each distinct word once and sends the ids back to the chunk. There
+they are joined with the chunk's positions (one packed row: the number of the word at each position, frequent words
+first) and put in order again. Positions thus travel once, and words once each way per chunk, so a word that makes up a
+third of all tokens costs one entry per chunk.
+
+The words and the positions of a chunk come from two passes over the texts. Rows are sorted inside their partition before,
+so both see the same chunks; a chunk is named by its place and a hash of its contents, and one whose passes differ all
+the same raises an error.
 
 Defined results: a null text counts as empty (no ids); rows that repeat an id are encoded one by one; a null id stays
 null; extra columns are not read; an empty table gives an empty result.
@@ -21,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm import pretok
 from tidemark.llm.common import CHUNK_BYTES, chunks, n_partitions, pack, unpack, varint_decode, varint_encode
 
-PACKED = "shard int, chunk long, blob binary"
-DOC_ROW = -1
+PACKED = "shard int, chunk long, digest long, blob binary"
+_COLUMNS = ["shard", "chunk", "digest", "blob"]
 
 
 @functools.lru_cache(4)
@@ -54,107 +58,118 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def _split_words(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+def _chunked(batches: Iterator[pd.DataFrame]):
+    """(chunk, digest, rows, bounds of the rows' tokens, word number of each token, words): numbers by falling frequency."""
     part = TaskContext.get().partitionId()
-    for number, rows in enumerate(chunks(batches, lambda r: len(r[1] or ""))):
-        chunk = part << 32 | number
+    for number, rows in enumerate(chunks(batches, lambda r: len(r[1] or ""), 2 * CHUNK_BYTES)):
         texts = [r[1] or "" for r in rows]
         cp = pretok.code_points(texts)
+        digest = xxhash.xxh64_intdigest(cp.tobytes(), len(rows)) >> 1
         start, stop = pretok.split(cp, words=False)
         bounds = pretok.doc_of(cp, start, len(texts))
         word, first = pretok.distinct(cp, start, stop)
-        words = [w.encode() for w in pretok.word_text(cp, start[first], stop[first])]
-        # positions grouped by word, as gaps
-        order = np.argsort(word, kind="stable")
-        count = np.bincount(word, minlength=len(words))
-        begin = np.cumsum(count) - count
-        gap = np.diff(order, prepend=0)
-        gap[begin] = order[begin]
-        # words grouped by shard
+        by = np.argsort(-np.bincount(word, minlength=len(first)), kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        first = first[by]
+        yield part << 32 | number, digest, rows, bounds, rank[word] if len(by) else word, (cp, start[first], stop[first])
+
+
+def _words(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+    """Each chunk's distinct words by shard, with their numbers."""
+    for chunk, digest, _, _, _, at in _chunked(batches):
+        words = [w.encode() for w in pretok.word_text(*at)]
         shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
-        by_shard = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[by_shard], np.arange(shards + 1))
-        out = [(DOC_ROW, chunk, pack([None if pd.isna(r[0]) else int(r[0]) for r in rows], np.diff(bounds).astype(np.int32)))]
-        for s in np.flatnonzero(np.diff(edge)):
-            here = by_shard[edge[s] : edge[s + 1]]
+        by = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[by], np.arange(shards + 1))
+        out = []
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            here = by[edge[s] : edge[s + 1]]
             mine = [words[i] for i in here.tolist()]
-            places = np.concatenate([gap[begin[i] : begin[i] + count[i]] for i in here.tolist()])
-            sizes = np.fromiter(map(len, mine), np.int32, len(mine))
-            out.append((int(s), chunk, pack(sizes, b"".join(mine), count[here].astype(np.int32), varint_encode(places))))
-        yield pd.DataFrame(out, columns=["shard", "chunk", "blob"])
+            sizes = np.fromiter(map(len, mine), np.int64, len(mine))
+            out.append((s, chunk, digest, pack(varint_encode(np.diff(here, prepend=0)), varint_encode(sizes), b"".join(mine))))
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each chunk's documents, their numbers of tokens, and the word number at each position."""
+    for chunk, digest, rows, bounds, word, at in _chunked(batches):
+        ids = [None if pd.isna(r[0]) else int(r[0]) for r in rows]
+        yield pd.DataFrame([(0, chunk, digest, pack(ids, np.diff(bounds).astype(np.int32), len(at[1]), varint_encode(word)))], columns=_COLUMNS)
 
 
 def _encode_words(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
     encode = _encoder(path, pattern)._core_bpe.encode_single_piece
     seen: dict[bytes, list[int]] = {}
+    kind = np.uint16 if len(token_bytes(path)) <= 65_536 else np.uint32
     for pdf in batches:
         out = []
-        for shard, chunk, blob in pdf.itertuples(index=False, name=None):
-            if shard != DOC_ROW:
-                sizes, data, count, places = unpack(blob)
-                ids, at = [], 0
-                for size in sizes.tolist():
-                    w = data[at : at + size]
-                    at += size
-                    got = seen.get(w)
-                    if got is None:
-                        got = seen[w] = encode(w)
-                    ids.append(got)
-                n = np.fromiter(map(len, ids), np.int32, len(ids))
-                blob = pack(n, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())), count, places)
-                if len(seen) > 1_000_000:  # memory; a word that comes again is encoded again
-                    seen.clear()
-            out.append((shard, chunk, blob))
-        yield pd.DataFrame(out, columns=["shard", "chunk", "blob"])
-
-
-def _rebuild(pdf: pd.DataFrame):
-    """A chunk's documents: ids, tokens of each, and for each position the number of its word; for each word its ids."""
-    docs, sizes = unpack(pdf.blob[pdf.shard == DOC_ROW].iloc[0])
-    sequence = np.empty(int(sizes.sum()), np.int64)
-    lengths, ids, known = [], [], 0
-    for blob in pdf.blob[pdf.shard != DOC_ROW]:
-        n, values, count, places = unpack(blob)
-        gaps = varint_decode(places)
-        total = np.cumsum(gaps)
-        begin = np.cumsum(count) - count
-        places = total - np.repeat(total[begin] - gaps[begin], count)
-        sequence[places] = np.repeat(np.arange(known, known + len(n)), count)
-        known += len(n)
-        lengths.append(n)
+        for shard, chunk, digest, blob in pdf.itertuples(index=False, name=None):
+            numbers, sizes, data = unpack(blob)
+            ids, at = [], 0
+            for size in varint_decode(sizes).tolist():
+                w = data[at : at + size]
+                at += size
+                got = seen.get(w)
+                if got is None:
+                    got = seen[w] = encode(w)
+                ids.append(got)
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            out.append((shard, chunk, digest, pack(numbers, varint_encode(n), np.fromiter((i for x in ids for i in x), kind, int(n.sum())))))
+            if len(seen) > 1_000_000:  # memory; a word that comes again is encoded again
+                seen.clear()
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _rebuild(coded: pd.DataFrame, sequence: pd.DataFrame):
+    """A chunk's documents: ids, tokens of each, the word number at each position; for each word number its token ids."""
+    if not len(sequence):
+        raise ValueError("a chunk's words came without its positions: its two passes differ")
+    docs, sizes, known, word = unpack(sequence.blob.iloc[0])
+    numbers, lengths, ids = [], [], []
+    for blob in coded.blob:
+        gaps, n, values = unpack(blob)
+        numbers.append(np.cumsum(varint_decode(gaps)))
+        lengths.append(varint_decode(n))
         ids.append(values)
     none = np.empty(0, np.int64)
-    return docs, sizes, sequence, np.concatenate([none, *lengths]), np.concatenate([none, *ids])
-
-
-def _digest(pdf: pd.DataFrame, path: str) -> pd.DataFrame:
-    docs, sizes, sequence, lengths, ids = _rebuild(pdf)
+    number, length = np.concatenate([none, *numbers]), np.concatenate([none, *lengths])
+    if len(number) != known:
+        raise ValueError("a chunk's positions came without its words: its two passes differ")
+    flat = np.concatenate(ids) if ids else np.empty(0, np.uint16)
+    begin = np.cumsum(length) - length
+    by = np.empty(known, np.int64)
+    by[number] = np.arange(known)
+    return docs, sizes, varint_decode(word), begin[by], length[by], flat
+
+
+def _digest(coded: pd.DataFrame, sequence: pd.DataFrame, path: str) -> pd.DataFrame:
+    docs, sizes, word, begin, length, flat = _rebuild(coded, sequence)
     table = token_bytes(path)
-    text, raw, at = [], [], 0
-    values = ids.tolist()
-    for n in lengths.tolist():
-        mine = values[at : at + n]
-        at += n
+    values = flat.tolist()
+    text, raw = [], []
+    for a, n in zip(begin.tolist(), length.tolist(), strict=True):
+        mine = values[a : a + n]
         text.append(",".join(map(str, mine)).encode())
         raw.append(b"".join([table[i] for i in mine]))
-    n_tokens = np.concatenate(([0], np.cumsum(lengths[sequence]))) if len(sequence) else np.zeros(1, np.int64)
+    n_tokens = np.concatenate(([0], np.cumsum(length[word])))
     out, at = [], 0
     for doc, size in zip(docs, sizes.tolist(), strict=True):
-        mine = sequence[at : at + size].tolist()
-        decoded = b"".join([raw[i] for i in mine])
-        out.append((doc, int(n_tokens[at + size] - n_tokens[at]), hashlib.sha256(b",".join([text[i] for i in mine])).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        mine = word[at : at + size].tolist()
+        ids = hashlib.sha256(b",".join([text[i] for i in mine])).hexdigest()
+        decoded = hashlib.sha256(b"".join([raw[i] for i in mine])).hexdigest()
+        out.append((doc, int(n_tokens[at + size] - n_tokens[at]), ids, decoded))
         at += size
     return _frame(out, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _ids(pdf: pd.DataFrame) -> pd.DataFrame:
-    docs, sizes, sequence, lengths, ids = _rebuild(pdf)
-    begin = np.cumsum(lengths) - lengths
+def _ids(coded: pd.DataFrame, sequence: pd.DataFrame) -> pd.DataFrame:
+    docs, sizes, word, begin, length, flat = _rebuild(coded, sequence)
     out, at = [], 0
     for doc, size in zip(docs, sizes.tolist(), strict=True):
-        mine = sequence[at : at + size]
+        mine = word[at : at + size].tolist()
         at += size
-        out.append((doc, np.concatenate([np.empty(0, np.int64), *[ids[begin[i] : begin[i] + lengths[i]] for i in mine.tolist()]]).astype(np.int64)))
+        out.append((doc, np.concatenate([np.empty(0, np.int64), *[flat[begin[i] : begin[i] + length[i]] for i in mine]]).astype(np.int64)))
     return _frame(out, ["ids"])
 
 
@@ -164,22 +179,23 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pdf
 
 
-def _through_words(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    """Packed rows with the ids of every chunk's words, grouped by nothing yet."""
+def _through_words(docs: DataFrame, function, schema: str, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    """function(a chunk's words with ids, its positions) over all chunks."""
     n = n_partitions(docs.sparkSession)
-    shards = min(4 * n, 1024)
+    shards = min(n, 1024)
     salts = max(1, n // shards)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    split = rows.mapInPandas(lambda b: _split_words(b, shards), PACKED)
-    dealt = split.repartition(n, F.when(F.col("shard") == DOC_ROW, F.col("chunk")).otherwise(F.col("shard")), F.pmod("chunk", F.lit(salts)))
-    return dealt.mapInPandas(lambda b: _encode_words(b, path, pattern), PACKED)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).sortWithinPartitions("_id", "_text")
+    words = rows.mapInPandas(lambda b: _words(b, shards), PACKED).repartition(n, "shard", F.pmod("chunk", F.lit(salts)))
+    coded = words.mapInPandas(lambda b: _encode_words(b, path, pattern), PACKED)
+    sequences = rows.mapInPandas(_sequences, PACKED)
+    both = coded.groupBy("chunk", "digest").cogroup(sequences.groupBy("chunk", "digest"))
+    return both.applyInPandas(function, schema).withColumnRenamed("_id", id_col)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids (array of long) of every row of docs: the ids that the vocabulary at path gives its text, each
     match of pattern encoded on its own, without special tokens. pattern must be the byte-level pattern of pretok."""
-    done = _through_words(docs, path, pattern, id_col, text_col).groupBy("chunk").applyInPandas(_ids, "_id long, ids array<bigint>")
-    return done.withColumnRenamed("_id", id_col)
+    return _through_words(docs, _ids, "_id long, ids array<bigint>", path, pattern, id_col, text_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -197,5 +213,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256 (of the ids in decimal, joined by commas) and decoded_sha256 (of the decoded bytes)."""
     schema = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    done = _through_words(docs, path, pattern, id_col, text_col).groupBy("chunk").applyInPandas(lambda pdf: _digest(pdf, path), schema)
-    return done.withColumnRenamed("_id", id_col)
+    return _through_words(docs, lambda coded, sequence: _digest(coded, sequence, path), schema, path, pattern, id_col, text_col)

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from tidemark.llm.common import Rolling
+from tidemark.llm.common import Rolling, mix64
 
 SPACE, LETTER, NUMBER, OTHER, BORDER = range(5)
 _END = 0x110000  # a code point that no text has: the border between two texts
@@ -98,14 +98,24 @@ def split(cp: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
     return start[keep], stop[keep]
 
 
+def _hashes(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of each token: the sum of its mixed code points times powers of an odd base."""
+    size = stop - start
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(size.max()), Rolling.BASES[which], np.uint64), dtype=np.uint64)[place]
+        power *= mix64(cp[np.repeat(start, size) + place].astype(np.uint64) + np.uint64(1 + 10_000_019 * which))
+    return np.add.reduceat(power, np.cumsum(size) - size)
+
+
 def distinct(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token the number of its distinct word (by first occurrence), and for each word its first token.
 
     Words are told apart by two independent hashes of 64 bits and their lengths."""
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    one = Rolling(cp, 0).of(start, stop)
-    two = Rolling(cp, 1).of(start, stop) ^ (stop - start).astype(np.uint64)
+    one = _hashes(cp, start, stop, 0)
+    two = _hashes(cp, start, stop, 1) ^ (stop - start).astype(np.uint64)
     codes, uniques = pd.factorize(one)
     first = np.empty(len(uniques), np.int64)
     first[codes[::-1]] = np.arange(len(start) - 1, -1, -1)
