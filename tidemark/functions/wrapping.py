@@ -63,7 +63,7 @@ def mix64(x: Column) -> Column:
 def byte_values(c: Column) -> Column:
     """The bytes of a string or binary column as an array of BIGINT."""
     digits = F.hex(c)
-    return F.transform(F.filter(F.sequence(F.lit(1), F.length(digits)), lambda i: i % 2 == 1), lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("long"))
+    return F.transform(F.filter(F.sequence(F.lit(1), F.length(digits)), lambda i: (i % 2 == 1) & (i < F.length(digits))), lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("long"))
 
 
 def fnv1a(c: Column, seed: int = 0) -> Column:
