@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm import pretok
-from tidemark.llm.common import CHUNK_BYTES, chunks, n_partitions, pack, unpack, varint_decode, varint_encode
+from tidemark.llm.common import chunks, n_partitions, pack, unpack, varint_decode, varint_encode
 
 PACKED = "shard int, chunk long, digest long, blob binary"
 _COLUMNS = ["shard", "chunk", "digest", "blob"]
@@ -61,7 +61,7 @@ def token_bytes(path: str) -> list[bytes]:
 def _chunked(batches: Iterator[pd.DataFrame]):
     """(chunk, digest, rows, bounds of the rows' tokens, word number of each token, words): numbers by falling frequency."""
     part = TaskContext.get().partitionId()
-    for number, rows in enumerate(chunks(batches, lambda r: len(r[1] or ""), 2 * CHUNK_BYTES)):
+    for number, rows in enumerate(chunks(batches, lambda r: len(r[1] or ""))):
         texts = [r[1] or "" for r in rows]
         cp = pretok.code_points(texts)
         digest = xxhash.xxh64_intdigest(cp.tobytes(), len(rows)) >> 1
