@@ -84,6 +84,17 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fair_join(rows: DataFrame, table: DataFrame, on: list[str], how: str, total: int) -> DataFrame:
+    """rows joined (inner or left_semi) to table: one row a key, with _n, the number of rows that have the key, of total.
+
+    Keys with more than a partition's fair share of rows are broadcast: at most as many keys as partitions can have that
+    many. So their rows stay where they are, and only the others are shuffled."""
+    share = F.col("_n") * n_partitions(rows.sparkSession)
+    hot = F.broadcast(table.filter(share > total).drop("_n"))
+    cold = table.filter(share <= total).drop("_n")
+    return rows.join(hot, on, how).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))
+
+
 def prime_from(n: int) -> int:
     """The smallest prime that is at least n."""
     n = max(n, 2)

@@ -13,7 +13,9 @@ common line alone stays everywhere unless it has MIN_WORDS words.
    runs that overlap make up the maximal repeated run.
 4. The lines of later repeated runs are deleted.
 
-No step makes pairs of places, so a run that a third of all documents have costs one row per place.
+No step makes pairs of places, so a run that a third of all documents have costs one row per place. Places are counted by
+partial aggregates, and runs or fingerprints with more than a partition's share of them (never more than there are
+partitions) are broadcast to their places instead of gathering these in one task.
 
 Defined results: a null text is empty and has one blank line; rows that repeat an id follow each other as parts of one
 document, ordered by text, runs not crossing them; a null id sorts first; an empty table gives no rows.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import id_of, keyed, materialize
+from tidemark.llm.common import fair_join, id_of, keyed, materialize
 
 MIN_LINES, MIN_WORDS = 3, 50
 _INTERNAL = ("_key", "_ord", "_text", "_gone", "_lines", "_runs")
@@ -69,11 +71,11 @@ def later_lines(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     """_key, _ord and _gone (numbers of the lines to delete) of the rows (_key, _ord, _text) that lose any."""
     every = materialize(runs(rows, min_lines, min_words), "runs")
     place = F.struct("_key", "_ord", "fp_at")
-    prints = every.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("fp")
-    met = materialize(every.join(prints, "fp", "left_semi"), "met-runs")
+    prints = every.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("_n")).filter("low <> high").select("fp", "_n")
+    met = materialize(fair_join(every, materialize(prints, "prints"), ["fp"], "left_semi", every.count()), "met-runs")
     start = F.struct("_key", "_ord", "at")
-    first = met.groupBy("a", "b").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first <> last").drop("last")
-    later = met.join(first, ["a", "b"]).filter(F.struct("_key", "_ord", "at") > F.col("first"))
+    first = met.groupBy("a", "b").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("_n")).filter("first <> last").drop("last")
+    later = fair_join(met, materialize(first, "first-runs"), ["a", "b"], "inner", met.count()).filter(F.struct("_key", "_ord", "at") > F.col("first"))
     # a partial aggregate: overlapping runs of a document meet here
     return later.select("_key", "_ord", F.explode("lines").alias("i")).groupBy("_key", "_ord").agg(F.collect_set("i").alias("_gone"))
 
