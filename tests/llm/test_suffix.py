@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.llm import suffix_dedup
@@ -91,3 +92,8 @@ def test_log_family():
     assert len(family.rows()[0]) == len(seen)
     sizes = [len(x[0]) for x in family.levels]
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_windows_without_repeats():
+    rows = pd.DataFrame({"half": [1, 1], "key": [1, 2], "pos": [0, 0], "first": [2, 2], "bytes": [b"abcdefghijk", b"lmnopqrstuv"]})
+    assert len(suffix_dedup._windows(rows, 10)) == 0 and len(suffix_dedup._windows(rows[:0], 10)) == 0

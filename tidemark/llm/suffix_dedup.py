@@ -229,7 +229,7 @@ def _windows(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     # consecutive windows of one row make one string
     k, p = key[hit], pos[hit]
     begin = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)))) if len(hit) else np.empty(0, np.int64)
-    end = np.append(begin[1:], len(hit)) - 1
+    end = np.append(begin[1:], len(hit))[: len(begin)] - 1
     return pd.DataFrame({"key": k[begin], "pos": p[begin], "extent": (p[end] - p[begin] + length).astype(np.int32)})
 
 
