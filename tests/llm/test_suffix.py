@@ -56,6 +56,7 @@ def documents(seed):
 def test_repeats(spark, monkeypatch, seed):
     if seed == 2:
         monkeypatch.setattr(suffix_dedup, "BATCH", 50)
+        monkeypatch.setattr(suffix_dedup, "SHARES", 1)  # only a seed with most suffixes could be hot
     rows = documents(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_bytes string").repartition(3)
     got = suffix_dedup.repeat_digests(df)
@@ -97,3 +98,18 @@ def test_log_family():
 def test_windows_without_repeats():
     rows = pd.DataFrame({"half": [1, 1], "key": [1, 2], "pos": [0, 0], "first": [2, 2], "bytes": [b"abcdefghijk", b"lmnopqrstuv"]})
     assert len(suffix_dedup._windows(rows, 10)) == 0 and len(suffix_dedup._windows(rows[:0], 10)) == 0
+
+
+def test_hot_seeds(spark):
+    """A phrase with a new surrounding each time: its seed is in more suffixes than a part should hold."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = "the quick brown fox jumps over the lazy dog and then some more"
+    rows = [(i, "".join(noise(rng.randint(30, 70)) + phrase for _ in range(12))) for i in range(150)] + [(999, noise(40) + phrase + noise(40))] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts, _ = suffix_dedup.keyed(df)
+    index = texts.mapInPandas(lambda b: suffix_dedup._index(b, 100, 8), suffix_dedup._INDEX).filter("extent > 0")
+    counts = {r.seed: r["count"] for r in index.groupBy("seed").count().collect()}
+    total, hot = sum(counts.values()), {r.seed for r in suffix_dedup._hot(index, 8).collect()}
+    assert hot and len(hot) <= 16 and {s for s, n in counts.items() if n * 8 > total} <= hot
+    assert sorted(str(tuple(r)) for r in suffix_dedup.repeat_digests(df).collect()) == brute(rows, 100)

@@ -8,7 +8,8 @@ least hash in the window. Equal windows own suffixes at the same place, so equal
 one suffix in 35 is indexed. The windows of one suffix are consecutive; together they are its context.
 
 1. Each scan task indexes bounded chunks of documents and sends each distinct context's first occurrence to the part of
-   the index that its seed's hash names (contexts that come again in the chunk are repeats already).
+   the index that its seed's hash names (contexts that come again in the chunk are repeats already). Hot seeds, with more
+   than a part's fair share of the suffixes, are dealt by their contexts over all parts: see _hot.
 2. A part takes its suffixes in batches, in document order. Each batch becomes a suffix array (sorted by seed and
    context), which is merge-scanned against the existing levels: what matches is a repeat. The rest becomes a level, and
    levels of equal size merge geometrically.
@@ -37,7 +38,9 @@ LENGTH, SEED = 100, 32
 #: Suffixes in a batch; bytes of text in a bucket of documents; candidates in a part of step 3.
 BATCH, BUCKET_BYTES, CANDIDATES = 65_536, 3_000_000, 20_000
 _ORD = 40  # a position is the row's number among those of its id, shifted by this, plus the place in its text
-_INDEX = "seed long, context long, key long, pos long, extent int"
+_INDEX = "seed long, context long, key long, pos long, extent int, often boolean"
+#: At most so many parts count for a fair share; so at most twice as many hot seeds are broadcast.
+SHARES = 4096
 
 
 def _bounds(sizes: np.ndarray) -> np.ndarray:
@@ -77,8 +80,9 @@ def sampled(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     return seed[place], context, doc, lo, hi, place
 
 
-def _index(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Rows of _INDEX: first occurrences of contexts in a chunk; repeats in it have extent < 0."""
+def _index(batches: Iterator[pd.DataFrame], length: int, shares: int) -> Iterator[pd.DataFrame]:
+    """Rows of _INDEX: first occurrences of contexts in a chunk; repeats in it have extent < 0. often: the seed has more
+    than one in 2 * shares of the chunk's rows."""
     for rows in chunks(batches, lambda r: len(r[2]), CHUNK_BYTES // 2):
         rows.sort(key=lambda r: (r[0], r[1]))  # so documents are numbered in order
         key, order = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
@@ -90,7 +94,19 @@ def _index(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
         again[by[1:]] = (seed[by[1:]] == seed[by[:-1]]) & (context[by[1:]] == context[by[:-1]])
         extent = (hi - lo + length).astype(np.int32)
         pos = (order[doc] << _ORD) + lo - bounds[doc]
-        yield pd.DataFrame({"seed": seed.view(np.int64), "context": context.view(np.int64), "key": key[doc], "pos": pos, "extent": np.where(again, -extent, extent)})
+        of, count = np.unique(seed[~again], return_inverse=True, return_counts=True)[1:]
+        often = np.zeros(len(by), bool)
+        often[~again] = (count * 2 * shares > len(of))[of]
+        yield pd.DataFrame({"seed": seed.view(np.int64), "context": context.view(np.int64), "key": key[doc], "pos": pos, "extent": np.where(again, -extent, extent), "often": often})
+
+
+def _hot(firsts: DataFrame, shares: int) -> DataFrame:
+    """The seeds (at most 2 * shares) with more than one in 2 * shares of all rows among the rows marked often.
+
+    All seeds with more than one in shares of the rows are there: where they are not marked, they have at most half of
+    that. So only marked rows need to be counted."""
+    total = firsts.count()
+    return firsts.filter("often").groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") * 2 * shares > total).select("seed", F.lit(True).alias("hot"))
 
 
 class LogFamily:
@@ -142,22 +158,22 @@ class LogFamily:
 
 
 def _scan_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (key, pos, extent): repeated strings (extent > 0), and contexts to look into (extent < 0)."""
-    local = pdf.extent.to_numpy() < 0
-    out = [pd.DataFrame({"key": pdf.key[local], "pos": pdf.pos[local], "extent": -pdf.extent[local]})]
-    rows = pdf[~local].sort_values(["key", "pos"], ignore_index=True)
+    """Rows (key, pos, extent): repeated strings (extent > 0), and contexts to look into (extent < 0). The contexts of
+    hot seeds are looked into always, as other parts hold others of these."""
+    rows = pdf.sort_values(["key", "pos"], ignore_index=True)
     seed, context = rows.seed.to_numpy(), rows.context.to_numpy()
     family, repeat = LogFamily(), np.zeros(len(rows), bool)
     for at in range(0, len(rows), BATCH):
         end = min(at + BATCH, len(rows))
         repeat[at:end] = family.add(seed[at:end], context[at:end], np.arange(at, end))
-    out.append(rows.loc[repeat, ["key", "pos", "extent"]])
+    out = [rows.loc[repeat, ["key", "pos", "extent"]]]
     s, _, number = family.rows()
     by = np.argsort(s, kind="stable")
     s = s[by]
     same = s[1:] == s[:-1]
     shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(s) else np.empty(0, bool)
-    look = rows.loc[number[by][shared], ["key", "pos", "extent"]]
+    number = number[by]
+    look = rows.loc[number[shared | rows.hot.to_numpy()[number]], ["key", "pos", "extent"]]
     out.append(look.assign(extent=-look.extent))
     return pd.concat(out, ignore_index=True).astype({"extent": "int32"})
 
@@ -266,15 +282,19 @@ def _with_repeats(docs: DataFrame, function, schema: str, id_col: str, text_col:
     n = max(n_partitions(spark), total // BUCKET_BYTES + 1)
     buckets = prime_from(2 * n)
     bucket = lambda c: F.pmod(F.col(c), F.lit(buckets)).alias("_bucket")
-    index = rows.mapInPandas(lambda b: _index(b, length), _INDEX)
-    parts = index.groupBy(F.pmod("seed", F.lit(prime_from(n))).alias("_part"))
+    shares = min(n, SHARES)
+    index = materialize(rows.mapInPandas(lambda b: _index(b, length, shares), _INDEX), "suffix-index")
+    firsts = index.filter("extent > 0")
+    dealt = firsts.drop("often").join(F.broadcast(_hot(firsts, shares)), "seed", "left").withColumn("hot", F.col("hot").isNotNull())
+    parts = dealt.groupBy(F.pmod(F.when(F.col("hot"), F.xxhash64("seed", "context")).otherwise(F.col("seed")), F.lit(prime_from(n))).alias("_part"))
     found = materialize(parts.applyInPandas(_scan_part, "key long, pos long, extent int"), "suffixes")
     texts = rows.withColumn("_bucket", bucket("_key"))
     look = found.filter("extent < 0").withColumns({"extent": -F.col("extent"), "_bucket": bucket("key")})
     fetched = texts.groupBy("_bucket").cogroup(look.groupBy("_bucket")).applyInPandas(lambda d, s: _fetch(d, s, length), "half long, key long, pos long, first int, bytes binary")
     many = prime_from(max(n, look.count() // CANDIDATES))
     ends = fetched.groupBy(F.pmod("half", F.lit(many)).alias("_part")).applyInPandas(lambda p: _windows(p, length), "key long, pos long, extent int")
-    spans = found.filter("extent > 0").unionByName(ends).withColumn("_bucket", bucket("key"))
+    again = index.filter("extent < 0").select("key", "pos", (-F.col("extent")).alias("extent"))
+    spans = found.filter("extent > 0").unionByName(again).unionByName(ends).withColumn("_bucket", bucket("key"))
     return texts.groupBy("_bucket").cogroup(spans.groupBy("_bucket")).applyInPandas(function, schema)
 
 
