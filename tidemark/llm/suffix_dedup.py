@@ -36,7 +36,7 @@ from tidemark.llm.common import CHUNK_BYTES, Rolling, chunks, id_of, keyed, mate
 
 LENGTH, SEED = 100, 32
 #: Suffixes in a batch; bytes of text in a bucket of documents; candidates in a part of step 3.
-BATCH, BUCKET_BYTES, CANDIDATES = 65_536, 3_000_000, 20_000
+BATCH, BUCKET_BYTES, CANDIDATES = 65_536, 3_000_000, 10_000
 _ORD = 40  # a position is the row's number among those of its id, shifted by this, plus the place in its text
 _INDEX = "seed long, context long, key long, pos long, extent int, often boolean"
 #: At most so many parts count for a fair share; so at most twice as many hot seeds are broadcast.
@@ -83,7 +83,7 @@ def sampled(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
 def _index(batches: Iterator[pd.DataFrame], length: int, shares: int) -> Iterator[pd.DataFrame]:
     """Rows of _INDEX: first occurrences of contexts in a chunk; repeats in it have extent < 0. often: the seed has more
     than one in 2 * shares of the chunk's rows."""
-    for rows in chunks(batches, lambda r: len(r[2]), CHUNK_BYTES // 2):
+    for rows in chunks(batches, lambda r: len(r[2]), CHUNK_BYTES // 4):
         rows.sort(key=lambda r: (r[0], r[1]))  # so documents are numbered in order
         key, order = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
         bounds = _bounds(np.fromiter((len(r[2]) for r in rows), np.int64, len(rows)))
