@@ -579,10 +579,17 @@ def generator_rows(spark, d):
     return small.generator_rows(spark, 10)
 
 
+#: Event ids folded in one array.
+FOLD_IDS = 10_000
+
+
 @query("SELECT user_id, sum(event_id + 1)::BIGINT AS total FROM events WHERE event_id % 100 < 5 GROUP BY user_id")
 def coroutine_fold(spark, d):
-    kept = table(spark, d, "events").filter("event_id % 100 < 5").groupBy("user_id").agg(F.collect_list("event_id").alias("xs"))
-    return kept.select("user_id", small.fold(F.col("xs"), lambda acc, x: acc + x + 1, F.lit(0).cast("long")).alias("total"))
+    kept = table(spark, d, "events").filter("event_id % 100 < 5").select("user_id", "event_id")
+    # one array for each user and stretch of ids, their states added: the state starts at 0 and only grows by what is read
+    parts = kept.groupBy("user_id", F.floor(F.col("event_id") / FOLD_IDS).alias("part")).agg(F.collect_list("event_id").alias("xs"))
+    states = parts.select("user_id", small.fold(F.col("xs"), lambda acc, x: acc + x + 1, F.lit(0).cast("long")).alias("state"))
+    return states.groupBy("user_id").agg(F.sum("state").alias("total"))
 
 
 @query("SELECT CASE WHEN u = 0 THEN 0 ELSE least(15, length(bin(u))) END::INTEGER AS class, count(*)::BIGINT AS n FROM (SELECT floor(o_totalprice / 32)::BIGINT AS u FROM orders) GROUP BY 1")
