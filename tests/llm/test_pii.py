@@ -1,7 +1,10 @@
 """Personal data: rules against their patterns, the model's gradients, held-out accuracy, reconciliation."""
 
 import hashlib
+import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -58,30 +61,95 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g.ravel()[i]) < 0.02 * abs(g.ravel()[i]) + 2e-3, name
 
 
-def test_held_out():
-    model = pii.default_tagger()
-    hits = wrong = missed = base_missed = 0
-    for text, want in pii.labelled_examples(400, seed=99):
-        (base, every), = pii.spans(model, [text])
+PROSE = "the committee met again on Thursday and agreed to review every open request before the summer break because several visitors had written about long queues at the northern gate".split()
+
+
+def foreign_texts(n, seed):
+    """Prose around personal data in spellings that the rules miss; not made by the training generator."""
+    rng = random.Random(seed)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    names, hosts = ["maria.keller", "jt_osborne", "sales", "kwame-boateng", "li4", "n.petrov77"], ["northgate", "bluelake", "museum-berlin", "acme"]
+
+    def card():
+        body = number(15)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    def one(kind):
+        if kind == 0:
+            top = rng.choice(["org", "com", "net", "de"])
+            return rng.choice([f"{rng.choice(names)} @ {rng.choice(hosts)}.{top}", f"{rng.choice(names)}@{rng.choice(hosts)} dot {top}", f"{rng.choice(names)}@{rng.choice(hosts)} . {top}"])
+        if kind == 1:
+            return rng.choice([" . ", "[.]"]).join(str(rng.randrange(256)) for _ in range(4))
+        if kind == 2:
+            c = card()
+            return rng.choice([" - ", "/", "."]).join(c[i : i + 4] for i in range(0, 16, 4))
+        return rng.choice([f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}"])
+
+    for _ in range(n):
+        kind = rng.randrange(4)
+        before, after = " ".join(rng.choices(PROSE, k=rng.randrange(2, 40))), " ".join(rng.choices(PROSE, k=rng.randrange(2, 40)))
+        piece = one(kind)
+        text = before + rng.choice([" ", ": ", ", "]) + piece + rng.choice([" ", ", ", ". "]) + after
+        at = text.index(piece, len(before))
+        yield text, (at, kind, at + len(piece))
+
+
+def test_recall_on_foreign_texts():
+    found, total, wrong, base_found = np.zeros(4), np.zeros(4), 0, np.zeros(4)
+    texts = list(foreign_texts(600, 5))
+    share = lambda x, y: (min(x[2], y[2]) - max(x[0], y[0])) / (max(x[2], y[2]) - min(x[0], y[0]))
+    for (_, want), (base, every) in zip(texts, pii.spans(pii.default_tagger(), [t for t, _ in texts]), strict=True):
         assert set(base) <= set(every)
-        want = [(a, k, b) for a, k, b in want if pii.plausible(k, text[a:b])]
-        near = lambda s, found: any(k == s[1] and a < s[2] and s[0] < b for a, k, b in found)
-        hits += sum(near(w, every) for w in want)
-        missed += sum(not near(w, every) for w in want)
-        base_missed += sum(not near(w, base) for w in want)
-        wrong += sum(not near(e, want) for e in every if e not in base)
-    assert missed < 0.6 * base_missed and wrong < 0.1 * hits, (hits, missed, base_missed, wrong)
-
-
-def test_windows_are_reconciled():
-    model = pii.default_tagger()
-    piece = "(415) 555-2671"
+        near = lambda s: any(s[1] == x[1] and share(s, x) > 0.5 for x in (want,))  # noqa: E731, B023
+        total[want[1]] += 1
+        base_found[want[1]] += any(map(near, base))
+        found[want[1]] += any(map(near, every))
+        wrong += sum(not near(x) for x in every if x not in base)
+    assert (found >= 0.9 * total).all() and base_found.sum() < 0.2 * total.sum() and wrong < 0.1 * total.sum(), (found, base_found, total, wrong)
+
+
+def test_viterbi():
+    rng = np.random.default_rng(3)
+    model = pii.train(pii.labelled_examples(20), steps=1)
+    model.t = rng.normal(size=model.t.shape).astype(np.float32)
+    em = rng.normal(size=(5, 4, pii.TAGS)).astype(np.float32)
+    tr = model.transitions()
+    for tags, scores in zip(model.viterbi(em).tolist(), em, strict=True):
+        value = lambda y: tr[-1, y[0]] + sum(tr[a, b] for a, b in zip(y, y[1:])) + sum(scores[k, t] for k, t in enumerate(y))  # noqa: B023, E731
+        assert abs(value(tags) - max(map(value, itertools.product(range(pii.TAGS), repeat=4)))) < 1e-4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 1), st.integers(1, 6), st.integers(1, 9)), max_size=7))
+def test_reconciled(spans):
+    spans = [(a, k, a + n, float(w)) for a, k, n, w in spans]
+    best = {}
+    for a, k, b, w in spans:
+        best[a, k, b] = max(w, best.get((a, k, b), 0))
+    most = max(sum(best[x] for x in chosen) for r in range(len(best) + 1) for chosen in itertools.combinations(best, r) if all(x[2] <= y[0] or y[2] <= x[0] for x, y in itertools.combinations(chosen, 2)))
+    got = pii.reconciled(spans)
+    assert got == sorted(got) and all(x[2] <= y[0] for x, y in zip(got, got[1:])) and sum(best[x] for x in got) == most
+
+
+def test_windows_of_long_texts():
+    """A span is found wherever the windows' borders fall, also far into a long text; blocks and parts do not matter."""
+    model, piece = pii.default_tagger(), "(415) 555-2671"
     found = []
-    for shift in range(0, 70, 3):
-        text = "w" * 3 + " word" * 0 + "x " * (shift // 2) + piece + " and more text after it"
+    for shift in range(0, 400, 7):
+        text = "x " * (shift // 2) + "call " + piece + " and more text after it " * 12
         (_, every), = pii.spans(model, [text])
-        found.append(any(k == 3 and text[a:b].strip("() ").startswith("415") for a, k, b in every))
-    assert np.mean(found) > 0.7
+        found.append(any(k == 3 and "555-2671" in text[a:b] for a, k, b in every))
+    assert np.mean(found) > 0.9
+    texts = ["call " + piece + " today. " + "word " * 200 + "or " + piece + " then"] * 40
+    assert len({str(x) for x in pii.model_spans(model, texts)}) == 1
+
+
+def test_text_of_digits():
+    rng = random.Random(2)
+    text = " ".join(str(rng.randrange(10**7)) for _ in range(60_000))
+    began = time.process_time()
+    (base, every), = pii.spans(pii.default_tagger(), [text])
+    assert time.process_time() - began < 12 and set(base) <= set(every)
 
 
 def test_report_and_redact(spark):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,16 +17,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 NULL_ID = -(2**63)
 #: Bytes of text that a task holds at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 4_000_000
+#: Bytes of an Arrow batch between an executor and its Python workers; a longer row is a batch of its own.
+BATCH_BYTES = 4_000_000
 
 _own_dirs: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine
+    (local mode, as in tests). A cluster without the setting is an error: no folder of one machine will do."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -37,6 +44,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by BATCH_BYTES, unless they are bounded closer: what a task holds then
+    depends on bytes and not on how many rows happen to be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give free memory back to the system: Python workers outlive their tasks, and would keep each stage's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slim(frames):
+    """The frames of a task, with free memory given back at its end."""
+    try:
+        yield from frames
+    finally:
+        trim()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return it reread: lineage ends there, and losing an
     executor costs no recomputation. cleanup() or the end of the driver process removes the tables."""

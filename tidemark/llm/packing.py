@@ -23,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import pretok
-from tidemark.llm.common import chunks
+from tidemark.llm.common import chunks, slim, small_batches
 
 WINDOW = 2048
 END_ID = 1
+#: Bytes of text tokenized at once.
+PART_BYTES = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,35 +44,65 @@ def _tokenizer(path: str):
 
 class WordIds:
     """Ids of whole texts through their distinct words: the vocabulary's model never looks across two pre-tokens, so each
-    distinct word is encoded once (and kept while memory allows)."""
+    distinct word is encoded once (and kept while memory allows). Known words are arrays sorted by one hash, checked by
+    another; only words that are new become strings."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         self.model = _tokenizer(path)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        none = np.empty(0, np.int64)
+        self.one, self.two, self.at, self.size, self.flat = none.view(np.uint64), none.view(np.uint64), none, none, np.empty(0, np.uint32)
+
+    def _known(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word stands among the known ones, and whether it does."""
+        if not len(self.one):
+            return np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return at, (self.one[at] == one) & (self.two[at] == two)
+
+    def _learn(self, words: list[str], one: np.ndarray, two: np.ndarray) -> None:
+        ids = []
+        for at in range(0, len(words), 5000):
+            ids += [e.ids for e in self.model.encode_batch_fast(words[at : at + 5000], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        by = np.argsort(one, kind="stable")
+        place = np.searchsorted(self.one, one[by])
+        self.at = np.insert(self.at, place, (len(self.flat) + np.cumsum(size) - size)[by])
+        self.size = np.insert(self.size, place, size[by])
+        self.two = np.insert(self.two, place, two[by])
+        self.one = np.insert(self.one, place, one[by])
+        self.flat = np.concatenate((self.flat, flat))
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        if strange := [i for i, t in enumerate(texts) if pretok.odd(t)]:
-            out = self.of([t if i not in set(strange) else "" for i, t in enumerate(texts)])
+        if strange := {i for i, t in enumerate(texts) if pretok.odd(t)}:
+            out = self.of([t if i not in strange else "" for i, t in enumerate(texts)])
             for i in strange:
                 out[i] = np.array(self.model.encode(texts[i], add_special_tokens=False).ids, np.uint32)
             return out
         cp = pretok.code_points([pretok.normal(t) for t in texts])
         start, stop = pretok.split(cp, words=True)
         bounds = pretok.doc_of(cp, start, len(texts))
-        word, first = pretok.distinct(cp, start, stop)
-        words = pretok.word_text(cp, start[first], stop[first])
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, (e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        ids = [self.known[w] for w in words]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
+        word, first, one, two = pretok.distinct_hashed(cp, start, stop)
+        _, have = self._known(one, two)
+        new = np.flatnonzero(~have)
+        if len(self.one) + len(new) > self.LIMIT and len(self.one):
+            self._forget()
+            new = np.arange(len(first))
+        if len(new):
+            self._learn(pretok.word_text(cp, start[first[new]], stop[first[new]]), one[new], two[new])
+        at, have = self._known(one, two)
+        begin, size = self.at[at], self.size[at]
+        flat = self.flat
+        if not have.all():  # words that share the first hash with another
+            for w in np.flatnonzero(~have).tolist():
+                ids = np.array(self.model.encode(pretok.word_text(cp, start[first[w : w + 1]], stop[first[w : w + 1]])[0], add_special_tokens=False).ids, np.uint32)
+                begin[w], size[w] = len(flat), len(ids)
+                flat = np.concatenate((flat, ids))
         each = size[word]
         total = np.concatenate(([0], np.cumsum(each)))
         # position k of the output stems from word w at begin[w] + (k - where that token starts)
@@ -150,12 +182,13 @@ class Packer:
 def _pack(batches: Iterator[pd.DataFrame], path: str, window: int, end_id: int) -> Iterator[pd.DataFrame]:
     words, packer = WordIds(path), Packer(TaskContext.get().partitionId() << 40, window)
     end = np.array([end_id], np.uint32)
-    for rows in chunks(batches, lambda r: len(r[1] or "")):
+    for rows in chunks(batches, lambda r: len(r[1] or ""), PART_BYTES):
         out = []
         for (doc, _), ids in zip(rows, words.of([r[1] or "" for r in rows]), strict=True):
             out += packer.place(None if pd.isna(doc) else int(doc), np.concatenate((ids, end)))
         yield _frame(out)
     yield _frame(packer.close())
+    _tokenizer.cache_clear()
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -170,5 +203,6 @@ def pack_sequences(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     tokens but for a few per task whose lengths are powers of two. window must be a power of two."""
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInPandas(lambda b: _pack(b, path, window, end_id), SCHEMA).withColumnRenamed("doc_id", id_col)
+    return rows.mapInPandas(lambda b: slim(_pack(b, path, window, end_id)), SCHEMA).withColumnRenamed("doc_id", id_col)

@@ -108,12 +108,12 @@ def _hashes(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int) ->
     return np.add.reduceat(power, np.cumsum(size) - size)
 
 
-def distinct(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the number of its distinct word (by first occurrence), and for each word its first token.
-
-    Words are told apart by two independent hashes of 64 bits and their lengths."""
+def distinct_hashed(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the number of its distinct word (by first occurrence), and for each word its first token and two
+    independent hashes of 64 bits, by which words are told apart."""
     if not len(start):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return none, none, none.view(np.uint64), none.view(np.uint64)
     one = _hashes(cp, start, stop, 0)
     two = _hashes(cp, start, stop, 1) ^ (stop - start).astype(np.uint64)
     codes, uniques = pd.factorize(one)
@@ -123,7 +123,12 @@ def distinct(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
         codes, uniques = pd.factorize(pd.MultiIndex.from_arrays([one, two]))
         first = np.empty(len(uniques), np.int64)
         first[codes[::-1]] = np.arange(len(start) - 1, -1, -1)
-    return codes, first
+    return codes, first, one[first], two[first]
+
+
+def distinct(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the number of its distinct word (by first occurrence), and for each word its first token."""
+    return distinct_hashed(cp, start, stop)[:2]
 
 
 def word_text(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[str]:
