@@ -135,23 +135,43 @@ def prime_from(n: int) -> int:
     return n
 
 
+def whole(docs: DataFrame):
+    """All columns of a row of docs as one struct, so that no column of ours can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, int]:
-    """(_key long, _ord int, _text binary) of docs (keep: after all its own columns), and the bytes of all texts.
+    """(_key long, _ord int, _text binary) of docs (keep: and _row, all its own columns as a struct), and the bytes of all
+    texts.
 
     _key is the id (NULL_ID for null), _ord numbers the rows that repeat an id by the order of their texts (0 where
-    ids are unique, which one cheap pass over ids and lengths tells, so that texts are shuffled only if need be).
-    Null texts are empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep else []
-    rows = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_key"), text.alias("_text"))
+    ids are unique, which one cheap pass over ids and lengths tells). Null texts are empty. An id that many rows share
+    is numbered in ranges of its texts, by their first 64 bytes, so no task gathers them all."""
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    own = [whole(docs).alias("_row")] if keep else []
+    rows = docs.select(*own, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_key"), text.alias("_text"))
     found = rows.groupBy("_key").agg(F.count("*").alias("n"), F.sum(F.octet_length("_text")).alias("b")).agg(F.max("n"), F.sum("b")).first()
+    own = ["_row"] if keep else []
     if (found[0] or 0) <= 1:
-        number = F.lit(0)
-    else:
-        from pyspark.sql import Window
-
-        number = (F.row_number().over(Window.partitionBy("_key").orderBy("_text")) - 1).cast("int")
-    return rows.select(*own, "_key", number.alias("_ord"), "_text"), int(found[1] or 0)
+        return rows.select(*own, "_key", F.lit(0).alias("_ord"), "_text"), int(found[1] or 0)
+    # a global sort by id and text (ranges are split wherever rows differ); numbers inside a partition, and before it
+    # one row per partition and id that it starts or ends with
+    n = n_partitions(docs.sparkSession)
+    ordered = rows.repartitionByRange(n, "_key", F.substring("_text", 1, 64)).sortWithinPartitions("_key", "_text").withColumn("_pid", F.spark_partition_id())
+    ordered = materialize(ordered, "by-id")
+    from pyspark.sql import Window
+
+    counts = ordered.groupBy("_pid", "_key").agg(F.count("*").alias("_c"))
+    many = counts.groupBy("_key").agg(F.count("*").alias("_p")).filter("_p > 1").select("_key")
+    # ids that cross partitions: at most one per border, so few rows, and each at most once per partition
+    crossing = counts.join(F.broadcast(many), "_key", "left_semi")
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    crossing = crossing.select("_pid", "_key", before.alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_pid", "_key").orderBy("_text")) - 1
+    numbered = ordered.withColumn("_n", local).join(F.broadcast(crossing), ["_pid", "_key"], "left")
+    number = (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int")
+    return numbered.select(*own, "_key", number.alias("_ord"), "_text"), int(found[1] or 0)
 
 
 def id_of(key):

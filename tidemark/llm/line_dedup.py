@@ -18,7 +18,8 @@ partial aggregates, and runs or fingerprints with more than a partition's share
 partitions) are broadcast to their places instead of gathering these in one task.
 
 Defined results: a null text is empty and has one blank line; rows that repeat an id follow each other as parts of one
-document, ordered by text, runs not crossing them; a null id sorts first; an empty table gives no rows.
+document, ordered by text, runs not crossing them; a null id sorts first; extra columns, of any name, are kept
+(without_later_runs) or not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import fair_join, id_of, keyed, materialize
 
 MIN_LINES, MIN_WORDS = 3, 50
-_INTERNAL = ("_key", "_ord", "_text", "_gone", "_lines", "_runs")
 
 
 def _words(line):
@@ -109,4 +109,4 @@ def without_later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """docs, all columns, with the lines of later repeated runs deleted from text_col (a null text becomes empty)."""
     out = _joined(docs, id_col, text_col, min_lines, min_words, True)
     kept = _kept().alias(text_col)
-    return out.select(*[kept if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[kept if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])

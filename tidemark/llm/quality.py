@@ -22,13 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, small_batches, trim
 
 #: Labelled documents that the model is fitted on at most (those with the least hash of their id).
 SAMPLE = 6000
 THRESHOLD, STEPS, RIDGE = 0.5, 30, 1.0
-#: How far a site may move a document's log-odds.
-MAX_SHIFT = 2.0
 # character classes: other letters of ASCII, upper case, digit, blank, line end, sentence mark, bracket or quote, other mark, beyond ASCII
 _KINDS = 9
 
@@ -121,6 +119,7 @@ def fit(x: np.ndarray, good: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most sample labelled documents (a bounded sample, by hash of the id)."""
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_good")).filter("_id is not null and _good is not null")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_good").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
@@ -132,13 +131,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _features(text: pd.Series) -> pd.Series:
-    return pd.Series(list(features(text.tolist())))
+    out = pd.Series(list(features(text.tolist())))
+    trim()
+    return out
 
 
 def _evidence(model: Model):
     @F.pandas_udf(T.DoubleType())
     def evidence(text: pd.Series) -> pd.Series:
-        return pd.Series(model.log_odds([t if isinstance(t, str) else None for t in text]))
+        out = pd.Series(model.log_odds([t if isinstance(t, str) else None for t in text]))
+        trim()
+        return out
 
     return evidence
 
@@ -180,12 +183,14 @@ def _posterior(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows (host, path, evidence, ...) with path_mean, log_odds and quality."""
     g = groups.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "host_mean", "path_mean", "global_mean")
     out = rows.join(g, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p"))).drop("_h", "_p")
-    shift = F.greatest(F.lit(-MAX_SHIFT), F.least(F.lit(MAX_SHIFT), F.coalesce(_logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), "path_mean"))) - _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), "global_mean"))), F.lit(0.0))))
+    inner = lambda c: _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c)))
+    shift = F.coalesce(inner("path_mean") - inner("global_mean"), F.lit(0.0))
     return out.withColumn("log_odds", F.col("_evidence") + shift).withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_odds"))))
 
 
 def scores(docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, evidence (log-odds of the text alone), host_mean, path_mean, quality (posterior probability) and keep of every row."""
+    small_batches(docs.sparkSession)
     one = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), _evidence(model)(F.col(text_col).cast("string")).alias("_evidence"))
     one = materialize(one, "evidence")
     groups = group_posteriors(one.select(F.col("_host").alias("host"), F.col("_path").alias("path"), _chance("_evidence").alias("p")))
@@ -200,6 +205,7 @@ def _chance(c: str):
 def keep_good(docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose posterior quality reaches threshold. Texts are read twice and never shuffled
     unless the sites' table is too large to broadcast."""
+    small_batches(docs.sparkSession)
     evidence = _evidence(model)(F.col(text_col).cast("string"))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-evidence))
     groups = materialize(group_posteriors(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), p.alias("p"))), "sites")

@@ -24,14 +24,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import NULL_ID, id_of, materialize, n_partitions
+from tidemark.llm.common import NULL_ID, fair_join, id_of, materialize, n_partitions, small_batches, trim, whole
 from tidemark.llm.components import connected_components, forest
 
 THRESHOLD, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints compared in one group.
 SPLIT = 50_000
-#: Fingerprints replicated at once.
-STEP = 20_000
+#: Fingerprints replicated at once (an Arrow batch may hand over fewer).
+STEP = 5_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -60,7 +60,9 @@ def signed(x: int) -> int:
 def _fingerprints(width: int):
     @F.pandas_udf(T.LongType())
     def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([signed(fingerprint(t if isinstance(t, str) else None, width)) for t in text], dtype="int64")
+        out = pd.Series([signed(fingerprint(t if isinstance(t, str) else None, width)) for t in text], dtype="int64")
+        trim()
+        return out
 
     return fp
 
@@ -94,15 +96,24 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(out)
 
 
-def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(fp, rep) in pieces of STEP rows, the last one shorter."""
+    fp, rep = np.empty(0, np.int64), np.empty(0, np.int64)
     for pdf in batches:
-        for at in range(0, len(pdf), STEP):
-            part = pdf.iloc[at : at + STEP]
-            fp, rep = part.fp.to_numpy(), part.rep.to_numpy()
-            u = fp.view(np.uint64)
-            for half in (0, 1):
-                i, a = anchors((u >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF))
-                yield pd.DataFrame({"anchor": a.astype(np.int64) << 1 | half, "fp": fp[i], "rep": rep[i]})
+        fp, rep = np.concatenate((fp, pdf.fp.to_numpy())), np.concatenate((rep, pdf.rep.to_numpy()))
+        while len(fp) >= STEP:
+            yield fp[:STEP], rep[:STEP]
+            fp, rep = fp[STEP:], rep[STEP:]
+    if len(fp):
+        yield fp, rep
+
+
+def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for fp, rep in _pieces(batches):
+        u = fp.view(np.uint64)
+        for half in (0, 1):
+            i, a = anchors((u >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF))
+            yield pd.DataFrame({"anchor": a.astype(np.int64) << 1 | half, "fp": fp[i], "rep": rep[i]})
 
 
 def links_of(fp: np.ndarray, rep: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +170,9 @@ def near_links(prints: DataFrame) -> DataFrame:
     components are those of all pairs that differ in at most 3 bits."""
     n, total, tasks = n_partitions(prints.sparkSession), prints.count(), prints.rdd.getNumPartitions()
     met = prints.mapInPandas(_replicate, "anchor long, fp long, rep long")
-    # an anchor met more than SPLIT times is met at least this often in one of the batches
-    often = max(2, SPLIT // (total // STEP + tasks))
+    # Each task regroups what it is handed to pieces of STEP rows, its last one being shorter; so there are at most so many
+    # pieces, and an anchor met more than SPLIT times is met at least this often in one of them
+    often = max(1, SPLIT // (total // STEP + tasks))
     suspects = prints.mapInPandas(lambda b: _frequent(b, often), "anchor long").distinct()
     counted = met.join(suspects, "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
     large = materialize(counted.select("anchor", F.ceil(F.col("n") / SPLIT).cast("int").alias("blocks")), "large-anchors")
@@ -181,6 +193,7 @@ def _frequent(batches: Iterator[pd.DataFrame], often: int) -> Iterator[pd.DataFr
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(key long, fp long) of every row, as a written table."""
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key")
     return materialize(docs.select(key, _fingerprints(width)(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
 
@@ -203,18 +216,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = fingerprints(docs, id_col, text_col)
     named = fingerprint_components(prints)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(named, "fp").select(id_of("key").alias(id_col), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
+    # a fingerprint that many rows have is broadcast to them, and not they gathered at it
+    counts = prints.groupBy("fp").agg(F.count("*").alias("_n"))
+    named = materialize(named.select("fp", "component").join(counts, "fp"), "named-fingerprints")
+    return fair_join(prints, named, ["fp"], "inner", prints.count()).select(id_of("key").alias(id_col), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, of which one is kept of each group of near duplicates: that with the smallest id
-    (nulls last; of rows that repeat it, the first)."""
-    fp = _fingerprints(SHINGLE)(F.col(text_col).cast("string"))
-    marked = materialize(docs.withColumns({"_fp": fp, "_row": F.monotonically_increasing_id()}), "marked")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    named = fingerprint_components(marked.select(key.alias("key"), F.col("_fp").alias("fp")))
-    first = marked.select(key.alias("key"), "_fp", "_row").join(named.withColumnRenamed("fp", "_fp"), "_fp")
-    # one row of each component: the smallest id, then the first row
-    chosen = first.groupBy("root").agg(F.min(F.struct(F.col("key") == NULL_ID, "key", "_row")).alias("best"))
-    rows = chosen.select(F.col("best._row").alias("_row"))
-    return marked.join(rows, "_row", "left_semi").select(*docs.columns)
+    """The rows of docs, all columns (of any name), of which one is kept of each group of near duplicates: that with the
+    smallest id (nulls last), of rows that repeat it that whose text has the least hash, of equal texts the first row."""
+    small_batches(docs.sparkSession)
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    marked = docs.select(whole(docs).alias("_doc"), key.alias("key"), F.xxhash64(text).alias("tie"), _fingerprints(SHINGLE)(text).alias("fp"), F.monotonically_increasing_id().alias("row"))
+    marked = materialize(marked, "marked")
+    named = fingerprint_components(marked.select("key", "fp"))
+    # a partial aggregate by fingerprint first, so that a common one is a row per task
+    best = F.min(F.struct((F.col("key") == NULL_ID).alias("none"), "key", "tie", "row")).alias("best")
+    first = marked.groupBy("fp").agg(best).join(named, "fp")
+    chosen = first.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    return marked.join(chosen, "row", "left_semi").select("_doc.*")
