@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,8 +31,21 @@ def set_merge(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) ->
 
 
 def set_values(adds: DataFrame, removed: DataFrame) -> DataFrame:
-    """Elements with a tag that is not retired."""
-    return adds.join(removed, "tag", "left_anti").select("element").distinct()
+    """Elements with a tag that is not retired, in order."""
+    return adds.join(removed, "tag", "left_anti").select("element").distinct().orderBy("element")
+
+
+def set_add(adds: DataFrame, elements: DataFrame, replica: str) -> DataFrame:
+    """adds with a fresh tag (replica:number) for each element; numbers go on above the replica's highest."""
+    mine = F.split("tag", ":")
+    used = adds.filter(F.element_at(mine, 1) == replica).agg(F.max(F.element_at(mine, 2).cast("long"))).first()[0]
+    tag = F.concat(F.lit(f"{replica}:"), (F.monotonically_increasing_id() + F.lit((used or 0) + 1)).cast("string"))
+    return adds.unionByName(elements.select("element", tag.alias("tag")))
+
+
+def set_remove(adds: DataFrame, removed: DataFrame, elements: DataFrame) -> DataFrame:
+    """removed with all tags observed of the elements: what is added later, or unseen elsewhere, stays."""
+    return removed.unionByName(adds.join(elements.select("element").distinct(), "element", "left_semi").select("tag")).distinct()
 
 
 def equal(a: DataFrame, b: DataFrame) -> bool:
@@ -42,34 +57,69 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
 _ORDERED = "doc long, key string, parent string, value string, pos long, deleted boolean, pending boolean"
 
 
-def _preorder(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One document's nodes in preorder; siblings by clock, then replica, both descending. Nodes whose ancestors are
-    missing are pending. An explicit stack, since typing makes trees as deep as the text."""
-    ins = pdf[pdf.type == "ins"].drop_duplicates(["c", "r"])
-    gone = set(pdf.loc[pdf.type == "del", "target"])
-    children: dict[str, list[tuple[int, str, str, str]]] = {}
-    for c, r, after, value in zip(ins.c, ins.r, ins.after, ins.value, strict=True):
-        children.setdefault(after or "", []).append((int(c), r, f"{int(c)}:{r}", value))
-    doc, out, seen, pos = pdf.doc.iloc[0], [], set(), 0
-    stack = [("", x) for x in sorted(children.get("", []))]
+def _preorder(doc: int, ops: list[tuple]) -> Iterator[tuple]:
+    """One document's nodes in preorder, from its ops (type, c, r, after, target, value); siblings by clock, then replica,
+    both descending. Nodes whose ancestors are missing are pending. An explicit stack, since typing makes trees as deep
+    as the text."""
+    nodes: dict[tuple[int, str], tuple[str, str]] = {}
+    gone: set[str] = set()
+    for kind, c, r, after, target, value in ops:
+        if kind == "ins":
+            nodes.setdefault((c, r), (after or "", value))
+        elif kind == "del":
+            gone.add(target)
+    children: dict[str, list[tuple[int, str]]] = {}
+    for node in sorted(nodes):
+        children.setdefault(nodes[node][0], []).append(node)
+    seen: set[tuple[int, str]] = set()
+    stack, pos = list(children.get("", ())), 0
     while stack:
-        parent, (_, _, key, value) = stack.pop()
-        if key in seen:
+        node = stack.pop()
+        if node in seen:
             continue
-        seen.add(key)
+        seen.add(node)
+        key = f"{node[0]}:{node[1]}"
         dead = key in gone
-        out.append((doc, key, parent, value, None if dead else pos, dead, False))
+        yield doc, key, *nodes[node], None if dead else pos, dead, False
         pos += not dead
-        stack += [(key, x) for x in sorted(children.get(key, []))]
-    out += [(doc, k, parent, value, None, k in gone, True) for parent, xs in children.items() for _, _, k, value in xs if k not in seen]
-    result = pd.DataFrame(out, columns=["doc", "key", "parent", "value", "pos", "deleted", "pending"])
-    return result.astype({"pos": "Int64", "doc": "int64"})
+        stack += children.get(key, ())
+    for node, found in nodes.items():
+        if node not in seen:
+            key = f"{node[0]}:{node[1]}"
+            yield doc, key, *found, None, key in gone, True
+
+
+def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents whose ops follow each other; many of them leave in one frame."""
+    columns = [c.split()[0] for c in _ORDERED.split(", ")]
+    rows: list[tuple] = []
+
+    def frame() -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns).astype({"pos": "Int64", "doc": "int64"})
+        rows.clear()
+        return out
+
+    doc, ops = None, []
+    for pdf in batches:
+        clocks = [None if pd.isna(c) else int(c) for c in pdf.c]
+        cells = (pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("type", "r", "after", "target", "value"))
+        for d, c, kind, r, after, target, value in zip(pdf.doc.tolist(), clocks, *cells, strict=True):
+            if d != doc:
+                rows += _preorder(doc, ops)
+                doc, ops = d, []
+                if len(rows) > 20_000:
+                    yield frame()
+            ops.append((kind, c, r, after, target, value))
+    rows += _preorder(doc, ops)
+    yield frame()
 
 
 def sequence_order(ops: DataFrame) -> DataFrame:
-    """Every node with its place among the visible ones (null if deleted or pending). A document is one group: its order
-    is one walk, and documents are bounded by what a person types."""
-    return ops.groupBy("doc").applyInPandas(_preorder, _ORDERED)
+    """Every node with its place among the visible ones (null if deleted or pending). A document's ops are read together:
+    its order is one walk, and documents are bounded by what a person types; a task walks many documents, one after another."""
+    rows = ops.filter("doc is not null").select("doc", "type", "c", "r", "after", "target", "value")
+    n = int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "doc").sortWithinPartitions("doc").mapInPandas(_ordered, _ORDERED)
 
 
 def sequence_text(ops: DataFrame, separator: str = "") -> DataFrame:

@@ -28,26 +28,50 @@ def standard_error(p: int) -> float:
     return 1.04 / math.sqrt(2**p)
 
 
-def registers(df: DataFrame, hashed: Column, p: int, by: tuple[str, ...] = ()) -> DataFrame:
+def memory_bytes(p: int) -> int:
+    """Of a sketch with a byte per register."""
+    check_precision(p)
+    return 2**p
+
+
+def precision(sketch: DataFrame) -> int | None:
+    """The precision that a table of registers was built with; it travels as metadata of idx, also through Parquet."""
+    return sketch.schema["idx"].metadata.get("precision")
+
+
+def _check_same(p: int, *sketches: DataFrame) -> None:
+    for s in sketches:
+        if (found := precision(s)) not in (None, p):
+            raise ValueError(f"sketches of precision {found} and {p} do not go together")
+
+
+def registers(df: DataFrame, item: Column, p: int, by: tuple[str, ...] = (), hashed=W.hash_long) -> DataFrame:
     """(by..., idx, rank): the highest rank seen in each register that is not empty; null items are not counted."""
     check_precision(p)
-    rows = df.select(*by, hashed.alias("_h")).filter("_h is not null")
+    rows = hashed(df.select(*by, item.alias("_item")).filter("_item is not null"), F.col("_item"), "_h")
     rest = F.shiftleft("_h", p)
-    rank = F.when(rest == 0, F.lit(64 - p + 1)).otherwise(F.lit(65) - F.length(F.bin(rest)))
-    return rows.select(*by, F.shiftrightunsigned("_h", 64 - p).cast("int").alias("idx"), rank.cast("int").alias("rank")).groupBy(*by, "idx").agg(F.max("rank").alias("rank"))
+    rows = rows.select(*by, F.shiftrightunsigned("_h", 64 - p).cast("int").alias("idx"), rest.alias("_rest"))
+    rank = F.when(F.col("_rest") == 0, F.lit(64 - p + 1)).otherwise(F.lit(65) - F.length(F.bin("_rest")))
+    found = rows.groupBy(*by, "idx").agg(F.max(rank.cast("int")).alias("rank"))
+    return found.withMetadata("idx", {"precision": p})
 
 
 def merge(*sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The sketch of the union of what the sketches (of equal precision) have seen."""
+    """The sketch of the union of what the sketches have seen. Sketches of different precision are an error."""
+    known = {p for s in sketches if (p := precision(s)) is not None}
+    if len(known) > 1:
+        raise ValueError(f"sketches of precisions {sorted(known)} do not go together")
     every = sketches[0]
     for s in sketches[1:]:
         every = every.unionByName(s)
-    return every.groupBy(*by, "idx").agg(F.max("rank").alias("rank"))
+    merged = every.groupBy(*by, "idx").agg(F.max("rank").alias("rank"))
+    return merged.withMetadata("idx", {"precision": known.pop()}) if known else merged
 
 
 def estimate(sketch: DataFrame, p: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., estimate): harmonic mean, or linear counting below 2.5 m; an empty sketch (no by) gives 0."""
     check_precision(p)
+    _check_same(p, sketch)
     m = 2**p
     ranks = sketch.groupBy(*by, "rank").count()
     total = ranks.groupBy(*by).agg(F.sum(F.col("count") * F.pow(F.lit(2.0), -F.col("rank"))).alias("s"), F.sum("count").alias("n"))
@@ -65,21 +89,44 @@ def bloom_size(n: int, fpp: float) -> tuple[int, int]:
     return bits, max(1, math.floor(bits / n * math.log(2) + 0.5))
 
 
-def bloom_positions(df: DataFrame, key: Column, bits: int, hashes: int, *keep: str) -> DataFrame:
-    """(keep..., pos): the bit positions of each key."""
-    h = df.select(*keep, W.bloom_hash(key, W.BLOOM_SEEDS[0]).alias("_a"), W.bloom_hash(key, W.BLOOM_SEEDS[1]).alias("_b"))
-    steps = F.array(*[F.pmod(W.add64(F.col("_a"), W.mul64(F.col("_b"), i)), F.lit(bits)) for i in range(hashes)])
-    return h.select(*keep, F.explode(steps).alias("pos"))
+#: Filters of at most so many bits (8 MB) are broadcast to the keys that are probed; larger ones are joined by word.
+BROADCAST_BITS = 1 << 26
 
 
-def bloom_words(positions: DataFrame) -> DataFrame:
-    """(word, bits): the filter as words of 64 bits."""
+def bloom_words(df: DataFrame, key: Column, bits: int, hashes: int) -> DataFrame:
+    """(word, bits): the filter of the keys, as words of 64 bits; words without a bit are left out."""
+    pos = df.select(F.explode(W.bloom_positions(key, bits, hashes)).alias("pos"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
-    return positions.groupBy(F.shiftright("pos", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return pos.groupBy(F.shiftright("pos", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _has(word: Column, pos: Column) -> Column:
+    return F.call_function("shiftright", word, (pos % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def bloom_probe(df: DataFrame, key: Column, words: DataFrame, bits: int, hashes: int, limit: int = BROADCAST_BITS) -> DataFrame:
+    """df with maybe (0 or 1): whether all bits of its key are set (0 for a null key)."""
+    asked = df.withColumn("_pos", W.bloom_positions(key, bits, hashes))
+    if bits <= limit:
+        empty = df.sparkSession.range(-(-bits // 64)).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+        dense = words.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        one = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("_words"))
+        all_set = F.forall("_pos", lambda p: _has(F.get("_words", F.shiftright(p, 6).cast("int")), p))
+        probed = asked.crossJoin(F.broadcast(one))  # one row of at most limit bits
+        return probed.select(*df.columns, F.coalesce(all_set, F.lit(False)).cast("int").alias("maybe"))
+    marked = asked.withColumn("_row", F.monotonically_increasing_id())
+    each = marked.select("_row", F.explode("_pos").alias("pos")).withColumn("word", F.shiftright("pos", 6).cast("int"))
+    found = each.join(words, "word", "left").groupBy("_row").agg(F.min(F.coalesce(_has(F.col("bits"), F.col("pos")), F.lit(False)).cast("int")).alias("maybe"))
+    return marked.join(found, "_row", "left").select(*df.columns, F.coalesce("maybe", F.lit(0)).alias("maybe"))
+
+
+def bloom_save(words: DataFrame, bits: int, hashes: int, path: str) -> None:
+    """Write a filter with its header (bit count and hash count), so that it can be probed later."""
+    words.write.mode("overwrite").parquet(f"{path}/words")
+    words.sparkSession.createDataFrame([(bits, hashes)], "bits long, hashes int").write.mode("overwrite").parquet(f"{path}/header")
 
 
-def bloom_probe(positions: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """(key, maybe): whether all bits of each key are set. The filter's words are few and of known number."""
-    found = positions.withColumn("word", F.shiftright("pos", 6).cast("int")).join(words, "word", "left")
-    bit = F.call_function("shiftright", F.col("bits"), (F.col("pos") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    return found.groupBy(key).agg(F.coalesce(F.min(F.coalesce(bit, F.lit(0))), F.lit(0)).cast("int").alias("maybe"))
+def bloom_load(spark, path: str) -> tuple[DataFrame, int, int]:
+    """(words, bits, hashes) of a filter that bloom_save wrote."""
+    header = spark.read.parquet(f"{path}/header").first()
+    return spark.read.parquet(f"{path}/words"), header.bits, header.hashes

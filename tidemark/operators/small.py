@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -69,3 +70,45 @@ def first_completed(actions: list, threads: int = 4):
         return next(iter(done)).result()
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
+
+
+class Pool:
+    """Actions on a bounded number of threads. A task may submit tasks: they run at once, in its own thread, so that waiting
+    for them cannot use up the threads."""
+
+    def __init__(self, threads: int = 4):
+        self.size = max(1, threads)
+        self._pool = ThreadPoolExecutor(self.size)
+        self._open: set[Future] = set()
+        self._lock, self._inside = threading.Lock(), threading.local()
+
+    def submit(self, action, *args) -> Future:
+        if getattr(self._inside, "yes", False):
+            done: Future = Future()
+            try:
+                done.set_result(action(*args))
+            except Exception as e:
+                done.set_exception(e)
+            return done
+
+        def run():
+            self._inside.yes = True
+            return action(*args)
+
+        with self._lock:
+            f = self._pool.submit(run)
+            self._open.add(f)
+        f.add_done_callback(self._open.discard)
+        return f
+
+    def wait_idle(self) -> None:
+        while self._open:
+            wait(list(self._open))
+
+    def close(self) -> None:
+        self._pool.shutdown()
+
+
+def map_partitions(df: DataFrame, function, schema: str) -> DataFrame:
+    """function(pandas frame) -> pandas frame over bounded batches of rows, on the executors."""
+    return df.mapInPandas(lambda frames: (function(f) for f in frames), schema)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import wrapping as W
-from tidemark.operators import crdt, incremental, sketch, small, versioned
+from tidemark.operators import crdt, derived, incremental, sketch, small, versioned
 from tidemark.sources import formats
+from tidemark.sources.table import VersionedTable, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -76,14 +77,12 @@ def _runs(spark, d):
 
 @query(f"WITH {_LOG}, {_GEN}, {_RUN} SELECT key, seq, tombstone, value FROM r WHERE rn = 1 AND gen = 1 AND key >= 5 AND key < 60")
 def lsm_run_range(spark, d):
-    one = _runs(spark, d).filter("gen = 1").drop("gen").filter(versioned.in_range(F.col("key"), 5, 60))
-    return versioned.flush(one).select("key", "seq", "tombstone", "value")
+    return versioned.run_range(_runs(spark, d).filter("gen = 1").drop("gen"), 5, 60).select("key", "seq", "tombstone", "value")
 
 
 @query(f"WITH {_LOG}, {_GEN}, {_RUN} SELECT gen, key, seq, tombstone, value FROM r WHERE rn = 1")
 def lsm_flush_gen(spark, d):
-    g = _runs(spark, d)
-    return g.groupBy("gen", "key").agg(F.max_by(F.struct("seq", "tombstone", "value"), "seq").alias("e")).select("gen", "key", "e.seq", "e.tombstone", "e.value")
+    return versioned.flush_generations(_runs(spark, d))
 
 
 @query(f"WITH {_LOG}, {_LAST} SELECT key, seq, value FROM last WHERE rn = 1 AND NOT tombstone")
@@ -108,11 +107,59 @@ def lsm_memtable_bytes(spark, d):
     return versioned.latest(log).agg(F.sum(versioned.entry_bytes(F.col("key"), F.col("value"))).cast("long").alias("bytes"), F.count("*").alias("n_keys"))
 
 
-@query("SELECT event_id AS seq, user_id AS key, event_type = 'error' AS tombstone, CASE WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_id > (SELECT max(event_id) / 2 FROM events)")
+@query(f"WITH {_LOG} SELECT seq, key, tombstone, value FROM log")
 def wal_replay(spark, d):
-    log = event_log(spark, d)
-    low = log.agg((F.max("seq") / 2).alias("low"))
-    return log.join(F.broadcast(low), F.col("seq") > F.col("low")).select("seq", "key", "tombstone", "value")
+    """The whole log, in the order of writing."""
+    return event_log(spark, d).orderBy("seq").select("seq", "key", "tombstone", "value")
+
+
+def _stored(spark, d) -> VersionedTable:
+    """events written to a table on storage in three parts: two flushed, the last one in the log."""
+    t = VersionedTable(spark, scratch(spark), compaction_threshold=4)
+    e = table(spark, d, "events")
+    ops = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.when(F.col("event_type") != "error", F.concat("event_type", F.col("event_id").cast("string"))).alias("value"), F.col("event_id").alias("seq"))
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    for k in range(3):
+        # a table numbers on from its last entry, so each part's own numbers start anew
+        t.write(ops.filter((F.col("seq") * 3 > top * k) & (F.col("seq") * 3 <= top * (k + 1)) | ((F.col("seq") <= 0) & F.lit(k == 0))))
+        if k < 2:
+            t.flush()
+    return t
+
+
+_OPS = "o AS (SELECT 'u' || user_id AS key, CASE WHEN event_type <> 'error' THEN event_type || event_id END AS value, event_id AS seq, greatest(0, ceil(event_id * 3 / (SELECT max(event_id) FROM events))::BIGINT - 1) AS part FROM events)"
+
+
+@query(f"WITH {_OPS}, l AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM o) SELECT key, value FROM l WHERE rn = 1 AND value IS NOT NULL AND key >= 'u1' AND key < 'u5'")
+def table_scan(spark, d):
+    return _stored(spark, d).scan("u1", "u5").select("key", F.decode("value", "utf-8").alias("value"))
+
+
+@query(f"WITH {_OPS} SELECT key, value, value IS NULL AS tombstone FROM o WHERE part = 2")
+def table_replay(spark, d):
+    """What the log still holds after two flushes: the third part."""
+    return _stored(spark, d).replay().select("key", F.decode("value", "utf-8").alias("value"), "tombstone")
+
+
+@query(f"WITH {_OPS} SELECT (part + 1)::INTEGER AS gen, count(DISTINCT key)::BIGINT AS n FROM o WHERE part < 2 GROUP BY part")
+def table_runs(spark, d):
+    return _stored(spark, d).run_sizes()
+
+
+@query(f"WITH {_OPS}, l AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM o) SELECT 2::INTEGER AS n_runs, count(*) FILTER (WHERE value IS NOT NULL AND key <> 'u1' AND key <> 'u2') + 1 AS n_live, 'new' AS u1 FROM l WHERE rn = 1")
+def table_mutations(spark, d):
+    """A put and a delete after the log was flushed by closing, then everything compacted by a forced fold and one more run."""
+    t = _stored(spark, d)
+    t.crash()
+    t = VersionedTable(spark, t.path)
+    t.flush()
+    t.compact(force=True)
+    t.put("u1", "new")
+    t.delete("u2")
+    t.close()
+    t = VersionedTable(spark, t.path)
+    live = t.scan().agg(F.count("*").alias("n_live"))
+    return live.select(F.lit(t.run_count()).alias("n_runs"), "n_live", F.lit((t.get("u1") or b"").decode()).alias("u1"))
 
 
 @query("SELECT o_orderkey, pos FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE pos % 64 = 0")
@@ -174,6 +221,27 @@ def btree_leaf_lookup(spark, d):
     return found.join(keys, "l_partkey").groupBy(F.col("floor_key").alias("low")).agg(F.sum("count").cast("long").alias("n"))
 
 
+@query("SELECT count(*)::BIGINT AS n, (WITH RECURSIVE h(n, k) AS (SELECT count(*), 0 FROM orders UNION ALL SELECT CASE WHEN n <= 64 THEN 0 ELSE ceil(n / 64)::BIGINT END, k + 1 FROM h WHERE n > 0) SELECT max(k) FROM h)::INTEGER AS height, 0::BIGINT AS n_broken FROM orders")
+def btree_shape(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    n = o.count()
+    stored = versioned.numbered(o, "o_orderkey")
+    return versioned.chain(stored, "o_orderkey", "pos").select(F.lit(n).alias("n"), F.lit(versioned.height(n)).alias("height"), "n_broken")
+
+
+@query("SELECT count(*)::BIGINT AS n_broken FROM (SELECT l_orderkey, lag(l_orderkey) OVER (ORDER BY l_orderkey * 8 + l_linenumber) AS b FROM lineitem) WHERE l_orderkey <= b")
+def chain_breaks(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"))
+    return versioned.chain(rows, "l_orderkey", "place")
+
+
+@query("WITH i AS (SELECT c_name AS k FROM customer WHERE c_custkey % 16 = 5), p AS (SELECT DISTINCT o_clerk AS probe FROM (SELECT 'Customer#' || lpad((o_custkey * 3 - 7)::VARCHAR, 9, '0') AS o_clerk FROM orders)) SELECT probe, k AS floor_key FROM p ASOF LEFT JOIN i ON p.probe >= i.k")
+def lsm_floor_strings(spark, d):
+    index = table(spark, d, "customer").filter("c_custkey % 16 = 5").select("c_name")
+    probes = table(spark, d, "orders").select(F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") * 3 - 7).cast("string"), 9, "0")).alias("probe")).distinct()
+    return versioned.floor_probe(probes, index, "probe", "c_name")
+
+
 # ---- sketches
 
 
@@ -208,7 +276,7 @@ def _estimate_sql(p: int, keep: str = "", source: str = "reg") -> str:
 
 @query(f"WITH {_mix_steps('lineitem', '', 'l_partkey')}, {_registers_sql(8)} SELECT * FROM reg")
 def hll_registers(spark, d):
-    return sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_partkey")), 8)
+    return sketch.registers(table(spark, d, "lineitem"), F.col("l_partkey"), 8)
 
 
 @query(f"WITH {_mix_steps('lineitem', '', 'l_partkey')}, {_registers_sql(8)} {_estimate_sql(8)}")
@@ -218,17 +286,17 @@ def hll_estimate(spark, d):
 
 @query(f"WITH {_mix_steps('lineitem', '', 'l_orderkey')}, {_registers_sql(10)} {_estimate_sql(10)}")
 def hll_estimate_harmonic(spark, d):
-    return sketch.estimate(sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_orderkey")), 10), 10)
+    return sketch.estimate(sketch.registers(table(spark, d, "lineitem"), F.col("l_orderkey"), 10), 10)
 
 
 @query(f"WITH {_mix_steps('lineitem', 'l_returnflag', 'l_partkey')}, {_registers_sql(14, 'l_returnflag')} {_estimate_sql(14, 'l_returnflag')}")
 def hll_group_estimate(spark, d):
     by = ("l_returnflag",)
-    return sketch.estimate(sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_partkey")), 14, by), 14, by)
+    return sketch.estimate(sketch.registers(table(spark, d, "lineitem"), F.col("l_partkey"), 14, by), 14, by)
 
 
 def _shards(spark, d):
-    return sketch.registers(table(spark, d, "lineitem"), W.hash_long(F.col("l_partkey")), 12, ("l_returnflag",))
+    return sketch.registers(table(spark, d, "lineitem"), F.col("l_partkey"), 12, ("l_returnflag",))
 
 
 _SHARDS = f"{_mix_steps('lineitem', 'l_returnflag', 'l_partkey')}, {_registers_sql(12, 'l_returnflag')}"
@@ -255,7 +323,7 @@ def _fnv_sql(c: str, seed: int = 0) -> str:
 
 @query(f"WITH f AS (SELECT {_fnv_sql('c_name')} AS v FROM customer), {_mix_steps('f', '', 'v')}, {_registers_sql(12)} {_estimate_sql(12)}")
 def hll_strings(spark, d):
-    return sketch.estimate(sketch.registers(table(spark, d, "customer"), W.hash_bytes(F.col("c_name")), 12), 12)
+    return sketch.estimate(sketch.registers(table(spark, d, "customer"), F.col("c_name"), 12, hashed=W.hash_bytes), 12)
 
 
 @query(
@@ -284,12 +352,14 @@ def bloom_params(spark, d):
     return sized.withColumn("hashes", F.greatest(F.lit(1), F.floor(F.col("bits") / F.col("n") * F.log(F.lit(2.0)) + 0.5)).cast("long"))
 
 
-BLOOM = sketch.bloom_size(1000, 0.01)  # fixed, so that every size of supplier gives the same filter
-
-
 def _bloom(spark, d):
+    """The suppliers' filter, sized by their number: words, bits and hashes."""
     keys = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("key"))
-    return sketch.bloom_words(sketch.bloom_positions(keys, F.col("key"), *BLOOM))
+    size = sketch.bloom_size(keys.count(), 0.01)
+    return sketch.bloom_words(keys, F.col("key"), *size), *size
+
+
+_SIZE = f"size AS (SELECT {_BITS} AS bits, greatest(1, floor({_BITS} / n * ln(2) + 0.5))::BIGINT AS hashes FROM (SELECT count(*)::BIGINT AS n FROM supplier))"
 
 
 def _positions_sql(source: str, key: str) -> str:
@@ -298,11 +368,12 @@ def _positions_sql(source: str, key: str) -> str:
         inner = _wrapped(f"xor({f}, {f} >> 33)", W.BLOOM_MULTIPLIER)
         return f"xor({inner}, {inner} >> 33)"
 
-    bit = f"((((a::UHUGEINT + (b::UHUGEINT * i::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT)::HUGEINT - CASE WHEN ((a::UHUGEINT + (b::UHUGEINT * i::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT) >= 9223372036854775808::UHUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END) % {BLOOM[0]} + {BLOOM[0]}) % {BLOOM[0]}"
+    step = "((a::UHUGEINT + (b::UHUGEINT * i::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    signed = f"({step}::HUGEINT - CASE WHEN {step} >= 9223372036854775808::UHUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END)"
     return (
-        f"fn AS (SELECT {key} AS key, {_fnv_sql(key, W.BLOOM_SEEDS[0])} AS f0, {_fnv_sql(key, W.BLOOM_SEEDS[1])} AS f1 FROM {source}), "
+        f"{_SIZE}, fn AS (SELECT {key} AS key, {_fnv_sql(key, W.BLOOM_SEEDS[0])} AS f0, {_fnv_sql(key, W.BLOOM_SEEDS[1])} AS f1 FROM {source}), "
         f"ab AS (SELECT key, {mixed(0)} AS a, {mixed(1)} AS b FROM fn), "
-        f"pos AS (SELECT key, ({bit})::BIGINT AS pos FROM (SELECT key, a, b, unnest(range({BLOOM[1]})) AS i FROM ab))"
+        f"pos AS (SELECT key, (({signed} % bits + bits) % bits)::BIGINT AS pos FROM (SELECT key, a, b, bits, unnest(range(hashes)) AS i FROM ab, size))"
     )
 
 
@@ -311,17 +382,35 @@ _SUPPLIERS = "k AS (SELECT s_suppkey::VARCHAR AS key FROM supplier)"
 
 @query(f"WITH {_SUPPLIERS}, {_positions_sql('k', 'key')}, one AS (SELECT DISTINCT pos FROM pos) SELECT (pos // 64)::INTEGER AS word, sum(CASE WHEN pos % 64 = 63 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << (pos % 64)::INTEGER END)::BIGINT AS bits FROM one GROUP BY 1")
 def bloom_bits(spark, d):
-    return _bloom(spark, d)
+    return _bloom(spark, d)[0]
 
 
 _PROBES = "p AS (SELECT DISTINCT l_suppkey::VARCHAR AS key FROM lineitem UNION SELECT (l_suppkey + 5000000)::VARCHAR FROM lineitem)"
+_PROBE_SQL = f"WITH {_SUPPLIERS}, {_PROBES}, every AS (SELECT key FROM k UNION SELECT key FROM p), {_positions_sql('every', 'key')}, bits AS (SELECT DISTINCT pos FROM pos JOIN k USING (key)) SELECT key, min(CASE WHEN bits.pos IS NULL THEN 0 ELSE 1 END)::INTEGER AS maybe FROM pos JOIN p USING (key) LEFT JOIN bits ON pos.pos = bits.pos GROUP BY key"
 
 
-@query(f"WITH {_SUPPLIERS}, {_PROBES}, every AS (SELECT key FROM k UNION SELECT key FROM p), {_positions_sql('every', 'key')}, bits AS (SELECT DISTINCT pos FROM pos JOIN k USING (key)) SELECT key, min(CASE WHEN bits.pos IS NULL THEN 0 ELSE 1 END)::INTEGER AS maybe FROM pos JOIN p USING (key) LEFT JOIN bits ON pos.pos = bits.pos GROUP BY key")
-def bloom_probe(spark, d):
+def _bloom_probes(spark, d):
     keys = table(spark, d, "lineitem").select("l_suppkey").distinct()
-    probes = keys.select(F.col("l_suppkey").cast("string").alias("key")).union(keys.select((F.col("l_suppkey") + 5000000).cast("string")))
-    return sketch.bloom_probe(sketch.bloom_positions(probes, F.col("key"), *BLOOM, "key"), _bloom(spark, d), "key")
+    return keys.select(F.col("l_suppkey").cast("string").alias("key")).union(keys.select((F.col("l_suppkey") + 5000000).cast("string")))
+
+
+@query(_PROBE_SQL)
+def bloom_probe(spark, d):
+    return sketch.bloom_probe(_bloom_probes(spark, d), F.col("key"), *_bloom(spark, d))
+
+
+@query(_PROBE_SQL)
+def bloom_reloaded(spark, d):
+    """The same probes against the filter as it is read back from storage, joined by word as a large filter is."""
+    path = scratch(spark)
+    sketch.bloom_save(*_bloom(spark, d), path)
+    return sketch.bloom_probe(_bloom_probes(spark, d), F.col("key"), *sketch.bloom_load(spark, path), limit=0)
+
+
+@query("SELECT p::INTEGER AS p, (1 << p)::BIGINT AS memory_bytes, 1.04 / sqrt((1 << p)::DOUBLE) AS standard_error FROM range(4, 19) AS t(p)")
+def hll_facts(spark, d):
+    rows = [(p, sketch.memory_bytes(p), sketch.standard_error(p)) for p in range(sketch.MIN_P, sketch.MAX_P + 1)]
+    return spark.createDataFrame(rows, "p int, memory_bytes long, standard_error double")
 
 
 # ---- conflict-free types
@@ -378,6 +467,17 @@ def orset_merge(spark, d):
     return adds.join(removed, "tag", "left_anti").groupBy("element").agg(F.count("*").alias("n_tags"))
 
 
+@query("SELECT element, count(*)::BIGINT AS n FROM (SELECT user_id AS element FROM events WHERE event_type <> 'error' AND user_id % 3 <> 0 UNION ALL SELECT DISTINCT user_id FROM events WHERE user_id % 6 = 0) GROUP BY element")
+def orset_add_remove(spark, d):
+    """Every third element is removed; of these every second is added again, with a fresh tag."""
+    adds, removed = _sets(spark, d)
+    removed = removed.limit(0)
+    users = table(spark, d, "events").select(F.col("user_id").alias("element")).distinct()
+    removed = crdt.set_remove(adds, removed, users.filter("element % 3 = 0"))
+    adds = crdt.set_add(adds, users.filter("element % 6 = 0"), "1")
+    return adds.join(removed, "tag", "left_anti").groupBy("element").agg(F.count_distinct("tag").alias("n"))
+
+
 def _ops(spark, d, missing: bool = False):
     """conversations as ops: turn t is inserted after turn t div 2 - 1 (turn 0: the root) with clock t + 1; system turns are deleted."""
     c = table(spark, d, "conversations").filter("turn is not null and conv_id is not null")
@@ -423,6 +523,18 @@ def rga_dedup(spark, d):
     return ins.groupBy("doc").agg(F.count("*").alias("n_nodes"), F.max("c").alias("clock"))
 
 
+@query(f"WITH RECURSIVE {_TREE}, m AS (SELECT min(doc) AS doc FROM o), k AS (SELECT o.* FROM o JOIN m USING (doc)) SELECT string_agg(value, '|' ORDER BY p) AS text FROM (SELECT value, pos + 0.0 AS p FROM k WHERE pos <> 1 UNION ALL SELECT '!', 0.5)")
+def rga_edits(spark, d):
+    """An insertion after the first place and a deletion of the place after it, in the first document."""
+    ops = _ops(spark, d)
+    doc = ops.agg(F.min("doc")).first()[0]
+    ops = ops.filter(F.col("doc") == doc)
+    one = lambda op: spark.createDataFrame([op], "doc long, type string, c long, r string, after string, target string, value string")
+    ops = ops.unionByName(one(crdt.insert_at(ops, doc, 1, "zz", "!")))
+    ops = ops.unionByName(one(crdt.delete_at(ops, doc, 2)))
+    return crdt.sequence_text(ops, "|").select("text")
+
+
 # ---- formats
 
 
@@ -455,29 +567,76 @@ def csv_strict_rows(spark, d):
     return rows.select("o_orderkey", "row", F.get("fields", F.lit(0)).alias("first"), F.size("fields").alias("n_fields"))
 
 
+@query("SELECT o_orderkey, r::INTEGER AS row, CASE r WHEN 0 THEN o_orderstatus || ' \"y' || chr(10) || 'z\" w,2' ELSE '\"a\"\"b\" ,c' END AS raw, CASE r WHEN 0 THEN o_orderstatus || ' \"y' || chr(10) || 'z\" w' ELSE 'a\"b' END AS first, CASE r WHEN 0 THEN 2 ELSE 1 END::INTEGER AS n_fields, r = 1 AS escaped FROM orders, range(2) AS t(r)")
+def csv_raw_rows(spark, d):
+    """A quote inside a field keeps its row together but quotes nothing; text after a closing quote ends its row's fields."""
+    text = F.concat(F.col("o_orderstatus"), F.lit(' "y\nz" w,2\r\n"a""b" ,c'))
+    rows = formats.csv_rows(table(spark, d, "orders").select("o_orderkey", text.alias("t")), "t", "o_orderkey")
+    return rows.select("o_orderkey", "row", "raw", F.get("fields", F.lit(0)).alias("first"), F.size("fields").alias("n_fields"), F.get("escaped", F.lit(0)).alias("escaped"))
+
+
+@query("SELECT c_custkey, replace(c_name || chr(34) || chr(34) || c_mktsegment || chr(34), chr(34) || chr(34), chr(34)) AS value FROM customer")
+def csv_unescape(spark, d):
+    raw = F.concat("c_name", F.lit('""'), "c_mktsegment", F.lit('"'))
+    return table(spark, d, "customer").select("c_custkey", formats.unescape(raw).alias("value"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_extract_string(props, '$.none') AS none FROM events")
 def json_find(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", formats.json_find(F.col("props"), "k").cast("long").alias("k"), formats.json_find(F.col("props"), "none").alias("none"))
 
 
-@query("SELECT event_id, 'object' AS kind, 'number' AS k_kind FROM events")
+#: Texts that events are put into: all six kinds, nesting, escapes, repeats, and ways to be malformed.
+_JSON = ['{"a": P, "a": [1, 2], "b": null}', "[P, [], {}, true]", '"x\\u00e9\\n"', " -12.5e3 ", "true", "null", "[]", "{}", "[P P]", '{"a" P}', "P P", "tru", "[1.]", '"\\x"', "[P"]
+
+
+def _json_text(k, props):
+    out = F.lit(None).cast("string")
+    for i, t in enumerate(_JSON):
+        out = F.when(k == i, F.replace(F.lit(t), F.lit("P"), props)).otherwise(out)
+    return out
+
+
+_JSON_SQL = "t AS (SELECT event_id, replace(CASE event_id % 15 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_JSON)) + " END, 'P', props) AS x FROM events)"
+_JSON_KIND = "CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+
+
+def _json_rows(spark, d):
+    return table(spark, d, "events").select("event_id", _json_text(F.col("event_id") % len(_JSON), F.col("props")).alias("x"))
+
+
+@query(f"WITH {_JSON_SQL} SELECT event_id, {_JSON_KIND} AS kind FROM t WHERE json_valid(x)")
 def json_types(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", formats.json_kind(F.col("props")).alias("kind"), formats.json_kind(formats.json_find(F.col("props"), "k")).alias("k_kind"))
+    return _json_rows(spark, d).filter(F.col("event_id") % 15 < 8).select("event_id", formats.json_kind(F.col("x")).alias("kind"))
 
 
-@query("SELECT event_id, 1::INTEGER AS n_object, 2::INTEGER AS n_array, 0::INTEGER AS n_number FROM events")
+@query(f"WITH {_JSON_SQL} SELECT event_id, coalesce(CASE json_type(x) WHEN 'OBJECT' THEN len(json_keys(x)) WHEN 'ARRAY' THEN json_array_length(x) END, 0)::INTEGER AS n FROM t WHERE json_valid(x)")
 def json_size(spark, d):
-    e = table(spark, d, "events").select("event_id", "props")
-    pair = F.concat(F.lit("["), F.col("props"), F.lit(", null]"))
-    return e.select("event_id", formats.json_size(F.col("props")).alias("n_object"), formats.json_size(pair).alias("n_array"), formats.json_size(formats.json_find(F.col("props"), "k")).alias("n_number"))
+    return _json_rows(spark, d).filter(F.col("event_id") % 15 < 8).select("event_id", formats.json_size(F.col("x")).alias("n"))
 
 
-@query("SELECT event_id, event_id % 3 <> 0 AS ok FROM events")
+@query(f"WITH {_JSON_SQL} SELECT event_id, json_valid(x) AS ok, CASE WHEN json_valid(x) THEN {_JSON_KIND} END AS kind FROM t")
 def json_strict(spark, d):
-    text = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(" 2"))).otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", formats.strict_json(text)["ok"].alias("ok"))
+    return _json_rows(spark, d).select("event_id", formats.strict_json("x").alias("r")).select("event_id", "r.ok", "r.kind")
+
+
+@query("SELECT event_id, 10 + strlen(props) + (CASE WHEN event_id % 2 = 0 THEN 4 ELSE 2 END) AS error_at FROM events")
+def json_error_offset(spark, d):
+    """The offset in bytes of a number out of range that also stands, earlier, inside a key."""
+    wide = F.when(F.col("event_id") % 2 == 0, "\u00e9\u00e9").otherwise("ab")
+
+    text = F.concat(F.lit('["'), wide, F.lit('1e999",'), F.col("props"), F.lit(",1e999]"))
+    return table(spark, d, "events").select("event_id", formats.strict_json(text)["error_at"].cast("long").alias("error_at"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS same FROM events")
+def json_equality(spark, d):
+    """Equal but for blanks and a number's spelling; equal but for the order of members; malformed."""
+    e = table(spark, d, "events")
+    k, p = F.col("event_id") % 3, F.col("props")
+    other = F.when(k == 0, F.concat(F.lit('{ "x":1.0,"y" : '), p, F.lit("}"))).when(k == 1, F.concat(F.lit('{"y":'), p, F.lit(',"x":1}'))).otherwise("{")
+    return e.select("event_id", formats.json_equal(F.concat(F.lit('{"x":1,"y":'), p, F.lit("}")), other).alias("same"))
 
 
 @query("SELECT doc_id, true AS same, 0::INTEGER AS err FROM documents")
@@ -494,9 +653,38 @@ def gzip_roundtrip(spark, d):
     return back.select("doc_id", (F.col("o.data") == F.col("raw")).alias("same"))
 
 
-@query()
+_CRC_BIT = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END"
+
+
+@query(f"SELECT c_custkey, xor(list_reduce({_bytes_sql('c_name')}, lambda c, b: list_reduce(list_transform(range(8), lambda i: i::UBIGINT), lambda x, i: {_CRC_BIT}, xor(c, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS crc FROM customer")
 def crc32_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("crc"))
+    return table(spark, d, "customer").select("c_custkey", F.crc32(F.encode("c_name", "utf-8")).alias("crc"))
+
+
+@query("SELECT r_regionkey, CASE r_regionkey % 4 WHEN 0 THEN 0 WHEN 1 THEN -2 WHEN 2 THEN -3 ELSE -1 END::INTEGER AS err, CASE WHEN r_regionkey % 4 = 0 THEN strlen(r_name) * 9 END::BIGINT AS n FROM region")
+def codec_errors(spark, d):
+    """A whole stream, one cut short, one that is malformed, and one longer than its limit."""
+    raw = table(spark, d, "region").select("r_regionkey", F.encode(F.repeat("r_name", 9), "utf-8").alias("raw")).withColumn("z", formats.compress(F.col("raw")))
+    k = F.col("r_regionkey") % 4
+    z = F.when(k == 1, F.substring("z", 1, 5)).when(k == 2, F.unhex(F.lit("07"))).otherwise(F.col("z"))
+    got = F.when(k == 3, formats.decompress(z, limit=10)).otherwise(formats.decompress(z))
+    return raw.select("r_regionkey", got.alias("o")).select("r_regionkey", "o.err", F.octet_length("o.data").cast("long").alias("n"))
+
+
+@query("WITH l AS (SELECT n_regionkey, n_nationkey AS symbol, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 5 END AS length FROM nation), c AS (SELECT *, coalesce(sum(1 << (30 - length)) OVER (PARTITION BY n_regionkey ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (30 - length) AS k FROM l) SELECT n_regionkey, symbol, length, lpad(bin(k), length, '0') AS code FROM c")
+def huffman_codes(spark, d):
+    n = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").alias("symbol"), F.when(F.col("n_nationkey") % 2 == 0, 3).otherwise(5).alias("length"))
+    return formats.huffman_codes(n, "n_regionkey")
+
+
+@query("WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, count(*)::BIGINT AS n_symbols, 1.0::DOUBLE AS kraft, true AS monotone FROM c GROUP BY 1")
+def huffman_lengths(spark, d):
+    """Of each group's codes: the sum of 2**-length (1 for a full tree), and whether rarer symbols never have shorter codes."""
+    counts = table(spark, d, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").cast("int").alias("symbol")).agg(F.count("*").alias("n"))
+    both = formats.huffman_lengths(counts, "l_returnflag").join(counts, ["l_returnflag", "symbol"])
+    before = F.lag("length").over(Window.partitionBy("l_returnflag").orderBy(F.desc("n"), "length"))
+    both = both.withColumn("ok", F.coalesce(before <= F.col("length"), F.lit(True)))
+    return both.groupBy("l_returnflag").agg(F.count("*").alias("n_symbols"), F.sum(F.pow(F.lit(2.0), -F.col("length"))).alias("kraft"), F.bool_and("ok").alias("monotone"))
 
 
 @query("SELECT doc_id, (n + (n // 65535 + 1) * 5 + 8)::BIGINT AS bound FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
@@ -547,6 +735,23 @@ def diamond_consistent(spark, d):
     return incremental.diamond(e, "sink", 6)
 
 
+@query("SELECT user_id, count(*)::BIGINT AS n, 2::INTEGER AS computations FROM events GROUP BY user_id")
+def derived_table(spark, d):
+    """A derived table read three times around one change of its source: it is computed twice. What it takes from a snapshot is
+    no dependency."""
+    e = table(spark, d, "events").select("user_id", "event_id")
+    stats = derived.Stats()
+    source, other = derived.Source(e.filter("event_id < 10")), derived.Source(e.select("user_id").distinct())
+    counts = derived.Derived(lambda t: t.join(derived.snapshot(other), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), source, name="counts", stats=stats)
+    counts.read()
+    other.write(e.select("user_id").distinct().filter("user_id < 0"))
+    counts.read()
+    other.write(e.select("user_id").distinct())
+    source.write(e)
+    found = counts.read()
+    return found.withColumn("computations", F.lit(stats.computations["counts"]))
+
+
 # ---- labels, counting, generators
 
 LABELS = [(1, "one"), (2, "two"), (3, "three"), (4, "four"), (2, "second")]
@@ -583,15 +788,34 @@ def generator_rows(spark, d):
 FOLD_IDS = 10_000
 
 
-@query("SELECT user_id, sum(event_id + 1)::BIGINT AS total FROM events WHERE event_id % 100 < 5 GROUP BY user_id")
+@query("SELECT user_id, sum(event_id + 1)::BIGINT AS total FROM events GROUP BY user_id")
 def coroutine_fold(spark, d):
-    kept = table(spark, d, "events").filter("event_id % 100 < 5").select("user_id", "event_id")
+    events = table(spark, d, "events").select("user_id", "event_id")
     # one array for each user and stretch of ids, their states added: the state starts at 0 and only grows by what is read
-    parts = kept.groupBy("user_id", F.floor(F.col("event_id") / FOLD_IDS).alias("part")).agg(F.collect_list("event_id").alias("xs"))
+    parts = events.groupBy("user_id", F.floor(F.col("event_id") / FOLD_IDS).alias("part")).agg(F.collect_list("event_id").alias("xs"))
     states = parts.select("user_id", small.fold(F.col("xs"), lambda acc, x: acc + x + 1, F.lit(0).cast("long")).alias("state"))
     return states.groupBy("user_id").agg(F.sum("state").alias("total"))
 
 
+@query("SELECT r::BIGINT AS region, count(*)::BIGINT AS n FROM range(5) AS t(r) JOIN nation ON n_regionkey = r GROUP BY r")
+def pool_counts(spark, d):
+    """One action for each region on a pool of threads, each of which submits another."""
+    n = table(spark, d, "nation")
+    pool = small.Pool(3)
+    try:
+        count = lambda r: pool.submit(n.filter(F.col("n_regionkey") == r).count).result()
+        found = [(r, f.result()) for r, f in [(r, pool.submit(count, r)) for r in range(5)]]
+        pool.wait_idle()
+    finally:
+        pool.close()
+    return spark.createDataFrame(found, "region long, n long")
+
+
+@query("SELECT o_orderkey, (o_orderkey * 2)::BIGINT AS twice FROM orders")
+def mapped_partitions(spark, d):
+    return small.map_partitions(table(spark, d, "orders").select("o_orderkey"), lambda f: f.assign(twice=f.o_orderkey * 2), "o_orderkey long, twice long")
+
+
 @query("SELECT CASE WHEN u = 0 THEN 0 ELSE least(15, length(bin(u))) END::INTEGER AS class, count(*)::BIGINT AS n FROM (SELECT floor(o_totalprice / 32)::BIGINT AS u FROM orders) GROUP BY 1")
 def size_class_hist(spark, d):
     return table(spark, d, "orders").groupBy(small.size_class(F.col("o_totalprice")).alias("class")).agg(F.count("*").alias("n"))

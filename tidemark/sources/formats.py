@@ -5,66 +5,74 @@ the strict forms parse Arrow batches; csv_fields and the JSON accessors are the
 
 from __future__ import annotations
 
-import json
+import functools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+
+#: A row: up to a line end outside quotes, which any quote opens, wherever it stands; the text's end closes an open one.
+_ROW = re.compile(r'(?:[^"\r\n]++|"(?:[^"]++|"")*+(?:"|\Z))*+')
+_LINE_END = re.compile(r"\r\n?|\n")
+
+
+@functools.lru_cache(16)
+def _field(delimiter: str) -> re.Pattern:
+    return re.compile(rf'"((?:[^"]++|"")*+)"?|([^{re.escape(delimiter)}]*+)')
+
+
+def split_rows(text: str) -> Iterator[str]:
+    """The raw rows of a CSV text: LF, CR or CRLF outside quotes end a row; no row follows the last line end."""
+    at = 0
+    while at < len(text):
+        m = _ROW.match(text, at)
+        yield m[0]
+        end = _LINE_END.match(text, m.end())
+        at = end.end() if end else len(text)
+
+
+def split_fields(row: str, delimiter: str = ",") -> Iterator[tuple[str, bool]]:
+    """(content, whether it holds doubled quotes) of a raw row's fields. A field is quoted if it starts with a quote; what
+    follows its closing quote must be a delimiter, anything else ends the row."""
+    at, pattern = 0, _field(delimiter)
+    while True:
+        m = pattern.match(row, at)
+        if m[1] is not None:
+            yield m[1], '""' in m[1]
+        else:
+            yield m[2], False
+        if row[m.end() : m.end() + 1] != delimiter:
+            return
+        at = m.end() + 1
 
 
 def parse_csv(text: str, delimiter: str = ",") -> list[list[str]]:
-    """Rows of fields by RFC 4180: LF, CR or CRLF end a row, quotes may hold any of them, doubled quotes stand for one. Every
-    field is text; a blank line is a row of one empty field; no row follows the last line end. Text after a closing
-    quote is kept as it stands."""
-    rows, row, field, n, i = [], [], [], len(text), 0
-    started = False
-    while i < n:
-        c = text[i]
-        started = True
-        if c == '"' and not field:
-            i += 1
-            while i < n:
-                j = text.find('"', i)
-                if j < 0:
-                    j = n
-                field.append(text[i:j])
-                i = j + 1
-                if i < n and text[i] == '"':
-                    field.append('"')
-                    i += 1
-                else:
-                    break
-            field.append("")  # a quoted field has begun, even if empty
-            continue
-        if c == delimiter or c in "\r\n":
-            row.append("".join(field))
-            field = []
-            if c != delimiter:
-                rows.append(row)
-                row, started = [], False
-                if c == "\r" and text[i + 1 : i + 2] == "\n":
-                    i += 1
-            i += 1
-            continue
-        field.append(c)
-        i += 1
-    if started or row or field:
-        rows.append([*row, "".join(field)])
-    return rows
+    """Rows of fields, all text, doubled quotes of quoted fields being one; a blank line is a row of one empty field."""
+    return [[c.replace('""', '"') if doubled else c for c, doubled in split_fields(r, delimiter)] for r in split_rows(text)]
 
 
 def csv_rows(df: DataFrame, text: str, *keep: str, delimiter: str = ",") -> DataFrame:
-    """(keep..., row from 0, fields) for every CSV row of a text column; null text has none."""
+    """(keep..., row from 0, raw, fields, escaped) for every CSV row of a text column; null text has none. raw is the row as it
+    stands, escaped tells which fields held doubled quotes."""
     if len(delimiter) != 1 or delimiter in '"\r\n':
         raise ValueError("a delimiter is one character that is no quote and no line end")
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    @F.pandas_udf("array<struct<raw: string, fields: array<string>, escaped: array<boolean>>>")
     def parsed(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else parse_csv(x, delimiter) for x in s], dtype=object)
+        out = []
+        for x in s:
+            rows = []
+            for raw in split_rows(x or ""):
+                fields = list(split_fields(raw, delimiter))
+                rows.append({"raw": raw, "fields": [c.replace('""', '"') if d else c for c, d in fields], "escaped": [d for _, d in fields]})
+            out.append(None if x is None else rows)
+        return pd.Series(out, dtype=object)
 
-    return df.select(*keep, F.posexplode(parsed(text)).alias("row", "fields"))
+    return df.select(*keep, F.posexplode(parsed(text)).alias("row", "_r")).select(*keep, "row", "_r.raw", "_r.fields", "_r.escaped")
 
 
 def csv_fields(line: Column, schema: str) -> Column:
@@ -90,42 +98,82 @@ def unescape(c: Column) -> Column:
 
 
 class _Bad(ValueError):
-    def __init__(self, at: int):
-        super().__init__(f"malformed at {at}")
-        self.at = at
+    """at: the offset, in bytes of UTF-8, of the first token that cannot stand where it does."""
 
+    def __init__(self, text: str, at: int):
+        self.at = len(text[:at].encode("utf-8", "surrogatepass"))
+        super().__init__(f"malformed at {self.at}")
 
-def parse_json(text: str):
-    """A JSON value; objects are lists of (key, value) in order with repeats, wrapped in a dict {"object": [...]}. Numbers are
-    doubles. ValueError on anything malformed, numbers out of range and lone high surrogates included."""
 
-    def number(x: str) -> float:
-        v = float(x)
-        if math.isinf(v):
-            raise _Bad(text.find(x))
-        return v
+_BLANK = re.compile(r"[ \t\r\n]*+")
+_TOKEN = re.compile(r'([{}\[\],:])|"((?:[^"\\]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+)"|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)|(true|false|null)')
+_ESCAPE = re.compile(r"\\(u[dD][89abAB][0-9A-Fa-f]{2}(?:\\u([0-9A-Fa-f]{4}))?|u[0-9A-Fa-f]{4}|.)")
+_SHORT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+_WORDS = {"true": True, "false": False, "null": None}
 
-    def constant(x: str):
-        raise _Bad(text.find(x))
 
-    decoder = json.JSONDecoder(strict=False, object_pairs_hook=lambda p: {"object": p}, parse_constant=constant, parse_float=number, parse_int=number)
-    try:
-        value = decoder.decode(text.strip(" \t\r\n"))
-    except json.JSONDecodeError as e:
-        raise _Bad(e.pos + len(text) - len(text.lstrip(" \t\r\n"))) from None
-    except RecursionError:
-        raise _Bad(0) from None
-    if _lone(value):
-        raise _Bad(max(0, text.lower().find("\\ud")))
-    return value
+def _unescaped(text: str, m: re.Match) -> str:
+    """A string token's value. A high surrogate needs a low one after it; a low one may stand alone."""
 
+    def one(e: re.Match) -> str:
+        x = e[1]
+        if x[0] != "u" or len(x) == 1:
+            return _SHORT.get(x, x)
+        code = int(x[1:5], 16)
+        if 0xD800 <= code < 0xDC00:
+            low = int(e[2], 16) if e[2] else 0
+            if not 0xDC00 <= low < 0xE000:
+                raise _Bad(text, m.start(2) + e.start())
+            return chr(0x10000 + (code - 0xD800) * 0x400 + low - 0xDC00)
+        return chr(code)
 
-def _lone(v) -> bool:
-    if isinstance(v, str):
-        return any("\ud800" <= c <= "\udfff" for c in v)
-    if isinstance(v, list):
-        return any(map(_lone, v))
-    return isinstance(v, dict) and any(_lone(k) or _lone(x) for k, x in v["object"])
+    return _ESCAPE.sub(one, m[2]) if "\\" in m[2] else m[2]
+
+
+def parse_json(text: str):
+    """A JSON value; objects are {"object": [(key, value), ...]}, in order and with repeats. Numbers are doubles. ValueError,
+    with the offset in bytes as .at, on anything malformed: numbers out of range and lone high surrogates included."""
+    at, stack, keys = 0, [], []  # open containers; the key that each open object waits for a value of
+    want = "value"  # or: first (a value or the end of an array), key, first key, colon, next, end
+    while True:
+        at = _BLANK.match(text, at).end()
+        if want == "end":
+            if at < len(text):
+                raise _Bad(text, at)
+            return value
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise _Bad(text, at)
+        mark = m[1]
+        if want in ("key", "first key") and m[2] is not None:
+            keys[-1], want = _unescaped(text, m), "colon"
+        elif want == "colon" and mark == ":":
+            want = "value"
+        elif want == "next" and mark == ",":
+            want = "value" if isinstance(stack[-1], list) else "key"
+        elif want in ("value", "first") and mark in ("{", "["):
+            stack.append([] if mark == "[" else {"object": []})
+            keys.append(None)
+            want = "first" if mark == "[" else "first key"
+        else:
+            if want in ("value", "first") and mark is None:
+                if m[2] is not None:
+                    value = _unescaped(text, m)
+                elif m[3] is not None:
+                    value = float(m[3])
+                    if math.isinf(value):
+                        raise _Bad(text, at)
+                else:
+                    value = _WORDS[m[4]]
+            elif stack and mark == ("]" if isinstance(stack[-1], list) else "}") and want in ("next", "first", "first key"):
+                value = stack.pop()
+                keys.pop()
+            else:
+                raise _Bad(text, at)
+            if stack:
+                stack[-1].append(value) if isinstance(stack[-1], list) else stack[-1]["object"].append((keys[-1], value))
+            want = "next" if stack else "end"
+        at = m.end()
 
 
 def same_json(a: str, b: str) -> bool | None:
@@ -136,12 +184,18 @@ def same_json(a: str, b: str) -> bool | None:
         return None
 
 
+@F.pandas_udf(T.BooleanType())
+def json_equal(a: pd.Series, b: pd.Series) -> pd.Series:
+    """same_json() of two text columns; null where either is null or malformed."""
+    return pd.Series([None if x is None or y is None else same_json(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 _STRICT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("kind", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("error_at", T.IntegerType())])
 
 
 @F.pandas_udf(_STRICT)
 def strict_json(s: pd.Series) -> pd.DataFrame:
-    """Strict check of a JSON text: ok, kind, size (of arrays and objects, else 0), error_at (code points, -1 if ok)."""
+    """Strict check of a JSON text: ok, kind, size (of arrays and objects, else 0), error_at (in bytes, -1 if ok)."""
     rows = []
     for x in s:
         try:
@@ -197,7 +251,8 @@ def compress(c: Column, level: int = 6, wbits: int = RAW) -> Column:
     return packed(c)
 
 
-OK, TRUNCATED, CORRUPT, TOO_LARGE = 0, -1, -2, -3
+# The codec's result codes (output limit passed, input cut short, malformed stream, no memory).
+OK, TOO_LARGE, TRUNCATED, CORRUPT, NO_MEMORY = 0, -1, -2, -3, -4
 
 
 def inflate(data: bytes, wbits: int = RAW, limit: int | None = None) -> tuple[bytes | None, int]:
@@ -207,6 +262,8 @@ def inflate(data: bytes, wbits: int = RAW, limit: int | None = None) -> tuple[by
         out = z.decompress(data, limit + 1 if limit is not None else 0)
     except zlib.error:
         return None, CORRUPT
+    except MemoryError:
+        return None, NO_MEMORY
     if limit is not None and len(out) > limit:
         return None, TOO_LARGE
     return (out, OK) if z.eof else (None, TRUNCATED)
@@ -269,3 +326,28 @@ def canonical_codes(lengths: dict[int, int]) -> dict[int, str]:
         out[symbol] = f"{code:0{length}b}"
         code, before = code + 1, length
     return out
+
+
+def huffman_lengths(counts: DataFrame, *by: str, limit: int = 15) -> DataFrame:
+    """(by..., symbol, length) of counts (by..., symbol int, n long): code_lengths() of each group. An alphabet has at most a few
+    hundred symbols, so a group is small whatever was counted."""
+    kinds = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in by)
+
+    def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = code_lengths(dict(zip(pdf.symbol.tolist(), pdf.n.tolist(), strict=True)), limit)
+        out = pd.DataFrame(sorted(found.items()), columns=["symbol", "length"])
+        for c in reversed(by):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    return counts.groupBy(*by).applyInPandas(lengths, f"{kinds}, symbol int, length int")
+
+
+def huffman_codes(lengths: DataFrame, *by: str) -> DataFrame:
+    """lengths (by..., symbol, length up to 30) with code: canonical codes as bit strings. A code is the sum of the shares that all
+    codes before it take, in 2**-length."""
+    order = Window.partitionBy(*by).orderBy("length", "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(30) - F.col("length"))
+    taken = F.coalesce(F.sum(share).over(order), F.lit(0)).cast("long")
+    number = F.call_function("shiftright", taken, F.lit(30) - F.col("length"))
+    return lengths.withColumn("code", F.lpad(F.bin(number), F.col("length"), F.lit("0")))

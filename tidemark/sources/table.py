@@ -8,6 +8,8 @@ old or the new set of runs. All file access goes through Hadoop's file system, s
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +18,16 @@ from tidemark.operators import versioned
 ENTRY = "key string, value binary, tombstone boolean, seq long"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or in local mode of this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{path.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, memtable_limit: int = 1 << 20, compaction_threshold: int = 4):
         self.spark, self.path, self.limit, self.threshold = spark, path.rstrip("/"), memtable_limit, compaction_threshold
@@ -23,8 +35,9 @@ class VersionedTable:
         root = self._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(root)
+        self._open = True
         if not self._exists("manifest.json"):
-            self._commit({"seq": 0, "gen": 0, "runs": [], "log": []})
+            self._commit({"seq": 0, "gen": 0, "version": 0, "runs": [], "log": []})
 
     # -- files
 
@@ -42,6 +55,12 @@ class VersionedTable:
             stream.close()
 
     def _commit(self, state: dict) -> None:
+        """Replace the manifest; an error if another writer has replaced it since state was read."""
+        if not self._open:
+            raise ValueError("the table is closed")
+        if self._exists("manifest.json") and self.manifest().get("version", 0) != state.get("version", 0):
+            raise RuntimeError("another writer has changed the table")
+        state = state | {"version": state.get("version", 0) + 1}
         out = self._fs.create(self._p("manifest.next"), True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
@@ -59,8 +78,8 @@ class VersionedTable:
     # -- writes
 
     def write(self, ops: DataFrame) -> None:
-        """Append operations (key string, value string or binary, null for a delete), numbered by seq if given, else as they
-        come. They are durable when this returns."""
+        """Append operations (key string, value string or binary, null for a delete), in the order of their column seq, or if there is
+        none in that of their partitions (as a table made from a list has them). They are durable when this returns."""
         state = self.manifest()
         value = F.col("value").cast("binary")
         if "seq" in ops.columns:
@@ -68,7 +87,7 @@ class VersionedTable:
         else:
             seq = F.monotonically_increasing_id() + state["seq"]
         rows = ops.select(F.col("key").cast("string"), value.alias("value"), F.col("value").isNull().alias("tombstone"), seq.cast("long").alias("seq"))
-        name = f"log/{state['seq']:020d}"
+        name = f"log/{state['seq']:020d}-{uuid.uuid4().hex[:8]}"
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
         top = self._read([name]).agg(F.max("seq")).first()[0]
         if top is None:
@@ -101,9 +120,7 @@ class VersionedTable:
             return
         gen = state["gen"] + 1
         name = self._write_run(versioned.flush(self._read(state["log"])), gen)
-        self._commit(state | {"gen": gen, "runs": [*state["runs"], name], "log": []})
-        for old in state["log"]:
-            self._fs.delete(self._p(old), True)
+        self._replace(state | {"gen": gen, "runs": [*state["runs"], name], "log": []}, state["log"])
         if len(state["runs"]) + 1 > self.threshold:
             self.compact()
 
@@ -114,9 +131,15 @@ class VersionedTable:
             return
         gen = state["gen"] + 1
         name = self._write_run(versioned.compact(self._read(state["runs"])), gen)
-        self._commit(state | {"gen": gen, "runs": [name]})
-        for old in state["runs"]:
-            self._fs.delete(self._p(old), True)
+        self._replace(state | {"gen": gen, "runs": [name]}, state["runs"])
+
+    def _replace(self, state: dict, gone: list[str]) -> None:
+        """Commit state. Files that it no longer names stay until the next replacement but one, for reads that are open."""
+        old = state.get("old", [])
+        self._commit(state | {"old": [*old[-1:], gone]})
+        for names in old[:-1]:
+            for name in names:
+                self._fs.delete(self._p(name), True)
 
     # -- reads
 
@@ -126,7 +149,7 @@ class VersionedTable:
 
     def scan(self, low: str | None = None, high: str | None = None) -> DataFrame:
         """(key, value) of live keys in [low, high), in key order."""
-        return versioned.scan(self.entries(), low, high).select("key", "value").orderBy("key")
+        return versioned.scan(self.entries(), low, high).select("key", "value")
 
     def get(self, key: str) -> bytes | None:
         row = versioned.get(self.entries(), [key]).select("value").head()
@@ -135,6 +158,27 @@ class VersionedTable:
     def run_count(self) -> int:
         return len(self.manifest()["runs"])
 
+    def run_sizes(self) -> DataFrame:
+        """(gen, n): the entries of each run, tombstones included."""
+        runs = self.manifest()["runs"]
+        if not runs:
+            return self.spark.createDataFrame([], "gen int, n long")
+        parts = [self._read([r]).select(F.lit(int(r.rpartition("=")[2])).alias("gen")) for r in runs]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.union(p)
+        return every.groupBy("gen").agg(F.count("*").alias("n"))
+
+    def close(self) -> None:
+        """Flush what is in the log and end this handle's writing."""
+        if self._open:
+            self.flush()
+            self._open = False
+
+    def crash(self) -> None:
+        """End this handle's writing without a flush; the log has what was written."""
+        self._open = False
+
     def replay(self) -> DataFrame:
         """The log's tail in the order of writing: what a restart recovers on top of the runs."""
         return self._read(self.manifest()["log"]).orderBy("seq")

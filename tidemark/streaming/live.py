@@ -11,9 +11,43 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OPS = "doc long, type string, c long, r string, after string, target string, value string"
 
 
-def effect(stream: DataFrame, run, checkpoint: str, **trigger):
-    """Start a query that calls run(batch DataFrame, batch id) for every micro-batch; stop() disposes of it."""
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+class Running:
+    """A started effect. stop() ends the query and runs the cleanup of its last batch."""
+
+    def __init__(self, query, cleanups: list):
+        self.query, self._cleanups = query, cleanups
+
+    def awaitTermination(self, timeout: float | None = None):
+        return self.query.awaitTermination(timeout) if timeout else self.query.awaitTermination()
+
+    def stop(self) -> None:
+        self.query.stop()
+        _clean(self._cleanups)
+
+
+def _clean(cleanups: list) -> None:
+    while cleanups:
+        cleanups.pop()()
+
+
+def effect(stream: DataFrame, run, checkpoint: str, **trigger) -> Running:
+    """Start a query that calls run(batch DataFrame, batch id) for every micro-batch. What run returns, if anything, is called
+    before the next batch and at stop()."""
+    cleanups: list = []
+
+    def batch(df: DataFrame, number: int) -> None:
+        _clean(cleanups)
+        cleanup = run(df, number)
+        if callable(cleanup):
+            cleanups.append(cleanup)
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return Running(writer.trigger(**(trigger or {"availableNow": True})).start(), cleanups)
+
+
+def with_snapshot(stream: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """A stream joined to a table as it stands when the query starts: changes of the table are not followed."""
+    return stream.join(table, on, how)
 
 
 def last_per_batch(key: str, seq: str, value: str, sink):
