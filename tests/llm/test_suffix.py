@@ -56,7 +56,7 @@ def documents(seed):
 def test_repeats(spark, monkeypatch, seed):
     if seed == 2:
         monkeypatch.setattr(suffix_dedup, "BATCH", 50)
-        monkeypatch.setattr(suffix_dedup, "SHARES", 1)  # only a seed with most suffixes could be hot
+        monkeypatch.setattr(suffix_dedup, "CANDIDATES", 10**6)  # all in few parts, so that levels are scanned and merged
     rows = documents(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_bytes string").repartition(3)
     got = suffix_dedup.repeat_digests(df)
@@ -81,23 +81,68 @@ def test_sample_depends_on_content_only():
     assert set.intersection(*seen) == min(seen, key=len)
 
 
-def test_log_family():
-    rng = np.random.default_rng(0)
-    family, seen = suffix_dedup.LogFamily(), set()
-    for _ in range(30):
-        s, c = rng.integers(0, 20, 40), rng.integers(0, 20, 40)
-        known = family.add(s, c, np.arange(40))
-        for a, b, k in zip(s.tolist(), c.tolist(), known.tolist()):
-            assert k == ((a, b) in seen)
-            seen.add((a, b))
-    assert len(family.rows()[0]) == len(seen)
-    sizes = [len(x[0]) for x in family.levels]
-    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
-
-
-def test_windows_without_repeats():
-    rows = pd.DataFrame({"half": [1, 1], "key": [1, 2], "pos": [0, 0], "first": [2, 2], "bytes": [b"abcdefghijk", b"lmnopqrstuv"]})
-    assert len(suffix_dedup._windows(rows, 10)) == 0 and len(suffix_dedup._windows(rows[:0], 10)) == 0
+def contexts(rng, n, length, seed):
+    """Contexts (bytes, place of the suffix) around one of a few seeds, with long and short repeats on both sides."""
+    sides = ["".join(rng.choice("ab") for _ in range(3 * length)) for _ in range(3)]
+    out = []
+    for _ in range(n):
+        middle = "s" * (seed - 1) + rng.choice("tu")
+        cut = rng.randint(0, length - seed)
+        before = (rng.choice(sides)[: rng.randint(0, 20)] + rng.choice(sides)[-rng.randint(1, length) :])[-(length - seed) :][cut:]
+        after = (rng.choice(sides)[: rng.randint(0, length - seed)] + rng.choice("xyz") * length)[: length - seed - rng.randint(0, len(before))]
+        text = (before + middle + after).encode()
+        if len(text) >= length:
+            out.append((text, len(before)))
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 7, 400])
+def test_log_family(step):
+    """Windows found by suffix arrays, batch after batch, against a set of all windows seen."""
+    rng, length = random.Random(5), 48
+    rows = contexts(rng, 2500, length, suffix_dedup.SEED)[: 60 if step == 1 else 900]
+    family, seen = suffix_dedup.LogFamily(length), set()
+    hits = 0
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step]
+        found = family.add([t for t, _ in part], np.array([h for _, h in part]))
+        assert found.shape == (len(part), length - suffix_dedup.SEED + 1)
+        for (text, high), mine in zip(part, found.tolist()):
+            for k in range(len(mine)):
+                start = high - k
+                inside = 0 <= start and start + length <= len(text)
+                w = text[start : start + length] if inside else None
+                assert mine[k] == (inside and (k, w) in seen)
+                hits += mine[k]
+                seen.add((k, w))
+    assert hits > 20
+    sizes = [len(x) for x in family.levels]
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) <= len(rows)
+    for x in family.levels:
+        assert list(x.ahead) == sorted(x.ahead)
+
+
+def test_zero_bytes():
+    """Bytes of value zero are bytes like others, also at a context's end."""
+    texts = [b"\0" * 100, b"\0" * 101, b"a" + b"\0" * 99, b"\0" * 99 + b"a"]
+    found = suffix_dedup.LogFamily().add(texts, np.array([0, 1, 1, 0]))
+    assert found.any(1).tolist() == [False, True, False, False] and found[1, :2].tolist() == [True, False]
+    assert suffix_dedup.lcp(np.array([[1, 2], [1, 2]]), np.array([[1, 3], [1, 2]])).tolist() == [1, 2]
+
+
+def test_parts_without_repeats():
+    rows = pd.DataFrame({"key": [1, 2], "pos": [0, 0], "at": [0, 0], "bytes": [b"a" * 100, b"b" * 100]})
+    assert len(suffix_dedup._match_part(rows, 100)) == 0
+
+
+def test_boilerplate_in_every_document(spark):
+    """95 bytes that all documents share, each time in another surrounding: no window repeats, and no part gets them all."""
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = "".join(rng.choice("ijklmnop") for _ in range(95))
+    rows = [(i, noise(150) + phrase + noise(150)) for i in range(600)] + [(2000, phrase + "tail" * 3), (2001, phrase + "tail" * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(str(tuple(r)) for r in suffix_dedup.repeat_digests(df).collect()) == brute(rows, 100)
 
 
 def test_hot_seeds(spark):
