@@ -7,9 +7,9 @@ score so far plus the most that the remaining dimensions can give (the product o
 Cauchy-Schwarz) reaches the k-th best lower bound, and the columns of the surviving candidates are compacted. Each cell
 sends k rows per query; a query's cells are merged by a partial top-k.
 
-Scores are integers and exact: products are summed in doubles while they are below 2**53, else in wrapping 64-bit
-integers. Defined results: vectors that are null or hold null or non-finite components take no part, and neither do
-rows or queries without id; pairs of different lengths are not compared; rows that repeat an id all are candidates, but
+Scores are integers and exact: products are summed in doubles while they are below 2**53, else in 64-bit integers. Defined
+results: vectors that are null or hold null or non-finite components take no part, and neither do those whose scores no
+long could hold (as integers, a squared length of 2**62 or more), nor rows or queries without id; pairs of different lengths are not compared; rows that repeat an id all are candidates, but
 none for a query of that id; empty vectors score 0; fewer candidates than k give fewer rows.
 """
 
@@ -19,9 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, slim, small_batches, trim
 
 QUERY_BLOCK, ROW_BLOCK, DIM_BLOCK = 2048, 16_384, 16
+#: Queries whose first scores are in memory at once.
+STRIP = 64
+#: No score of two vectors whose squared lengths stay below this passes 64 bits, nor does any part of its sum.
+MOST = 2.0**62
 SCALE = 256
 
 
@@ -43,10 +47,11 @@ def search_block(q_ids, q, r_ids, r, k: int):
     q_rest = [np.sqrt((qf[:, b:] ** 2).sum(1)) for _, b in steps]
     r_rest = [np.sqrt((rf[b:] ** 2).sum(0)) for _, b in steps]
     out_q, out_r, out_s = [], [], []
-    first = q[:, : steps[0][1]] @ columns[: steps[0][1]]  # the first block for all queries at once
     for i in range(len(q)):
+        if i % STRIP == 0:  # the first block for a strip of queries at once
+            first = q[i : i + STRIP, : steps[0][1]] @ columns[: steps[0][1]]
         alive = np.flatnonzero(r_ids != q_ids[i])
-        score = first[i, alive]
+        score = first[i % STRIP, alive]
         mine, base = columns, 0  # the survivors' columns, from dimension base on
         for t, (a, b) in enumerate(steps):
             if t:
@@ -74,6 +79,7 @@ def _cell(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(asked) or not len(rows):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     q, r, s = search_block(asked.id.to_numpy(), _matrix(asked.vector), rows.id.to_numpy(), _matrix(rows.vector), k)
+    trim()
     return pd.DataFrame({"query_id": q, "vec_id": r, "score": s})
 
 
@@ -83,10 +89,12 @@ def _to_integers(batches, scale: float):
         for i, x in zip(pdf.id, pdf.x, strict=True):
             if x is None or i is None or any(c is None for c in x):
                 continue
-            v = np.floor(np.asarray(x, np.float64) * scale)
-            if np.isfinite(v).all():
+            with np.errstate(over="ignore"):
+                v = np.floor(np.asarray(x, np.float64) * scale)
+                large = not (v * v).sum() < MOST
+            if np.isfinite(v).all() and not large:
                 ok.append(i)
-                out.append(np.clip(v, -(2.0**62), 2.0**62).astype(np.int64).tobytes())
+                out.append(v.astype(np.int64).tobytes())
         yield pd.DataFrame({"id": np.array(ok, np.int64), "vector": out})
 
 
@@ -94,8 +102,9 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: float = SCALE, id_col: s
     """query_id, rank (from 1), vec_id and score (integer inner product of floor(scale * x)) of the k best rows of each
     row for which the column expression is_query (of id_col) holds, among all rows of other ids; ties to smaller ids."""
     spark = rows.sparkSession
+    small_batches(spark)
     given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x")).filter("id is not null")
-    whole = materialize(given.mapInPandas(lambda b: _to_integers(b, scale), "id long, vector binary").withColumn("seq", F.monotonically_increasing_id()), "integers")
+    whole = materialize(given.mapInPandas(lambda b: slim(_to_integers(b, scale)), "id long, vector binary").withColumn("seq", F.monotonically_increasing_id()), "integers")
     whole = whole.withColumn("dim", F.octet_length("vector"))
     asked = whole.filter(is_query(F.col("id")))
     counts = whole.agg(F.count("*").alias("n"), F.count(F.when(is_query(F.col("id")), 1)).alias("q")).first()
