@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import NULL_ID, id_of, materialize, n_partitions
+from tidemark.llm.common import NULL_ID, fair_join, id_of, materialize, n_partitions, slim, small_batches, trim
 from tidemark.llm.components import connected_components, forest
 
 #: Vectors sampled to fit the axes; vectors in an interval; vectors in a leaf; leading axes of boxes; of the grid.
@@ -118,6 +118,7 @@ def _cell(pdf: pd.DataFrame, axes: dict[int, np.ndarray], threshold: float) -> p
     if edges:
         u, v = forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
         rows.append(pd.DataFrame({"u": u, "v": v, "links": 0}))
+    trim()
     return pd.concat(rows, ignore_index=True)
 
 
@@ -127,7 +128,7 @@ def classes_of(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame
     usable = F.coalesce(F.exists(x, lambda c: c != 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(vec_col).cast("array<double>").alias("_x"))
     rows = rows.select("key", F.when(usable, F.transform(x, lambda c: c + F.lit(0.0))).alias("_x"))  # -0.0 and 0.0 are one
-    flat = materialize(rows.mapInPandas(_flatten, "key long, vector binary"), "vectors")
+    flat = materialize(rows.mapInPandas(lambda b: slim(_flatten(b)), "key long, vector binary"), "vectors")
     rep = F.min(F.when(F.col("key") != NULL_ID, F.col("key")))
     classes = flat.filter("vector is not null").groupBy("vector").agg(F.count("*").alias("n"), rep.alias("rep"))
     classes = classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", (F.octet_length("vector") / 8).cast("int"))
@@ -153,6 +154,7 @@ def _number(batches):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id_col, n_links (vectors of cosine >= threshold, itself not counted), component_id (smallest id reachable) and kept
     (whether this row's id is the component's) of every row."""
+    small_batches(vectors.sparkSession)
     flat, classes = classes_of(vectors, id_col, vec_col)
     sizes = {r.dim: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row per vector length
     axes = {}
@@ -207,7 +209,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     named = classes.join(links, classes.cls == links.u, "left").join(roots, classes.cls == roots.node, "left")
     named = named.select("vector", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("vector", "n_links", "component_id")
-    out = flat.join(named, "vector", "left")
+    named = materialize(named.join(least, "root").join(classes.select("vector", F.col("n").alias("_n")), "vector").select("vector", "n_links", "component_id", "_n"), "named-classes")
+    # a vector that many rows have is broadcast to them; those without a usable one join nothing
+    out = fair_join(flat.filter("vector is not null"), named, ["vector"], "inner", flat.count())
+    out = out.unionByName(flat.filter("vector is null"), allowMissingColumns=True)
     alone = F.when(F.col("vector").isNull(), id_of("key")).otherwise(F.col("component_id"))
     return out.select(id_of("key").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), alone.alias("component_id"), F.coalesce(alone.eqNullSafe(id_of("key")) & (F.col("key") != NULL_ID), F.lit(False)).alias("kept"))
