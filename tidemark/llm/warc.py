@@ -3,12 +3,14 @@
 write_archives makes WARC 1.1 files with Spark's text sink (records are byte strings that end in CR LF CR LF, so the
 sink's line feed is the record's own last byte), gzip-compressed, in the shared folder. A response record carries an HTTP
 response whose body is in chunked transfer framing; blocks longer than SEGMENT are cut into a first segment and
-continuation records, which may land in other files. Of equal payloads of MIN_REVISIT bytes or more, one is a response and
-the others are revisit records.
+continuation records, which may land in other files. So no record is longer than a segment and its headers, and a file,
+which has a fixed number of records at most, is bounded however long the pages are. Of equal payloads of MIN_REVISIT
+bytes or more, one is a response and the others are revisit records. Payloads that very many pages share are not
+gathered: their digests are broadcast.
 
-read_archives reads any such files through Spark's binaryFile source: each file is decompressed and parsed as a stream,
-continuation records are grouped by the identifier of their origin, ordered by segment number, checked for gaps and
-against the total length, and the transfer framing is decoded. Only segmented records are shuffled.
+read_archives reads any such files through Spark's binaryFile source: each file is decompressed and parsed once, as a
+stream; continuation records are grouped by the identifier of their origin, ordered by segment number, checked for gaps
+and against the total length, and the transfer framing is decoded. Only segmented records are shuffled.
 
 Defined results: a null payload is empty; a null address is an empty one; rows with a null id or that repeat an id are
 records of their own (a null id never is what others refer to: where no row of a group has an id, all are responses; a
@@ -26,14 +28,15 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialize, new_path
+from tidemark.llm.common import materialize, n_partitions, new_path, slim, small_batches
 
-SEGMENT, MIN_REVISIT, HTTP_CHUNK = 32_768, 1000, 8192
-#: Aimed at for an archive file, before compression.
-FILE_BYTES = 32_000_000
+SEGMENT, MIN_REVISIT, HTTP_CHUNK = 4096, 1000, 2048
+#: Of an archive file at most, before compression (addresses beyond HEADERS bytes not counted).
+FILE_BYTES, HEADERS = 32_000_000, 1000
 DATE = "2024-01-01T00:00:00Z"  # pages have no time of their own
-_PARSED = "record_id string, origin string, segment int, total long, type string, page_id long, refers_to long, digest string, url string, block binary"
-_PAGE = "page_id long, url string, payload binary, payload_digest string, record_type string, refers_to long"
+_PAGE = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: A segment's origin, number, total length and block, and the page of a whole record (or what a first segment says of it).
+_PARSED = "origin string, segment long, total long, block binary, " + _PAGE
 
 
 def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
@@ -75,7 +78,7 @@ def _records(batches: Iterator[pd.DataFrame], segment: int) -> Iterator[pd.DataF
             sha = ("WARC-Payload-Digest", f"sha1:{digest}")
             http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
             kind = ("Content-Type", "application/http;msgtype=response")
-            if not pd.isna(refers):
+            if payload is None:
                 profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
                 out.append(record([("WARC-Type", "revisit"), *head, sha, ("WARC-Profile", profile), ("X-Refers-To-Page-ID", int(refers)), kind], http))
                 continue
@@ -93,18 +96,22 @@ def _records(batches: Iterator[pd.DataFrame], segment: int) -> Iterator[pd.DataF
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT) -> None:
     """Write one record (and its continuations) per row of pages to gzip-compressed WARC files under path."""
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"))
     rows = rows.withColumns({"_digest": F.sha1("_payload"), "_bytes": F.octet_length("_payload")})
-    total = rows.agg(F.sum("_bytes"), F.count("*")).first()
     equal = rows.filter(F.col("_bytes") >= MIN_REVISIT).groupBy("_digest").agg(F.max("_id").alias("_first"), F.count("*").alias("_n"))
-    equal = equal.filter("_n > 1").drop("_n")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    # the two join by (digest): only payloads that repeat are on the small side
-    marked = rows.join(equal, "_digest", "left").select("_id", "_url", "_payload", "_digest", refers.alias("_refers"))
-    built = marked.mapInPandas(lambda b: _records(b, segment), "record binary")
-    each = (total[0] or 0) / max(1, total[1]) + 600
-    per_file = max(16, int(FILE_BYTES / each))
+    equal = materialize(equal.filter("_n > 1"), "equal-payloads")  # only payloads that repeat
+    share = F.col("_n") * n_partitions(pages.sparkSession) > rows.count()
+    hot = rows.join(F.broadcast(equal.filter(share).withColumnRenamed("_n", "_hot")), "_digest", "left")
+    cold = hot.filter("_hot is null").drop("_first", "_hot").join(equal.filter(~share).drop("_n"), "_digest", "left")
+    marked = hot.filter("_hot is not null").drop("_hot").unionByName(cold)
+    refers = F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers")
+    # a revisit has no payload
+    payload = F.when(refers.isNull(), F.col("_payload")).alias("_payload")
+    marked = marked.select("_id", "_url", payload, "_digest", refers)
+    built = marked.mapInPandas(lambda b: slim(_records(b, segment)), "record binary")
+    per_file = max(1, FILE_BYTES // (segment + HEADERS))
     built.select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -166,7 +173,8 @@ def _stream(content: bytes) -> Iterator[bytes]:
         raise ValueError("a gzip member is cut short")
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parsed(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
+    """Rows of _PARSED: the pages of whole records, and the segments of the others."""
     columns = [c.split()[0] for c in _PARSED.split(", ")]
     for pdf in batches:
         for content in pdf.content:
@@ -176,16 +184,22 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 number = lambda k, h=h: int(h[k]) if k in h else None
                 digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                rows.append((h["warc-record-id"], h.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), h["warc-type"], number("x-page-id"), number("x-refers-to-page-id"), digest, h.get("warc-target-uri"), block))
+                head = (number("x-page-id"), h.get("warc-target-uri"))
+                segment = number("warc-segment-number")
+                if segment is None:
+                    rows.append((None, None, None, None, *_page(*head, h["warc-type"], number("x-refers-to-page-id"), digest, block, payloads)))
+                else:
+                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), segment, number("warc-segment-total-length"), block, *head, None, None, digest, h["warc-type"], number("x-refers-to-page-id")))
                 held += len(block)
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield _typed(rows, columns)
                     rows, held = [], 0
             yield _typed(rows, columns)
 
 
 def _typed(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"segment": "Int32", "total": "Int64", "page_id": "Int64", "refers_to": "Int64"})
+    pdf = pd.DataFrame(rows, columns=columns)
+    return pdf.astype({c: "Int64" for c in ("segment", "total", "page_id", "payload_bytes", "refers_to") if c in columns})
 
 
 def assemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -209,43 +223,57 @@ def _payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def _page(page, url, kind, refers, digest, block: bytes) -> tuple:
-    payload = None
+def _page(page, url, kind, refers, digest, block: bytes, payloads: bool) -> tuple:
+    payload = size = None
     if kind == "response":
         payload = _payload(block)
-        found = hashlib.sha1(payload).hexdigest()
+        size, found = len(payload), hashlib.sha1(payload).hexdigest()
         if digest and found != digest:
             raise ValueError(f"page {page}: the payload's digest is {found}, not {digest}")
         digest = found
-    return (page, url, payload, digest, kind, refers)
+    return (page, url, payload if payloads else None, size, digest, kind, refers)
 
 
-def _pages(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "url", "payload", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+def _segments(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
+    """Segments sorted by origin: the pages of their records. One record's segments are in memory at once."""
+    columns = [c.split()[0] for c in _PAGE.split(", ")]
+    origin, held, out, size = None, [], [], 0
 
+    def finish() -> int:
+        first = next((r for r in held if r[1] == 1 and r[7] != "continuation"), None)
+        if first is None:
+            raise ValueError("a record's first segment is missing")
+        block = assemble([r[1:4] for r in held])
+        out.append(_page(first[4], first[5], first[7], first[8], first[6], block, payloads))
+        return len(block)
 
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        cols = (pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("page_id", "url", "type", "refers_to", "digest", "block"))
-        yield _pages([_page(*r) for r in zip(*cols, strict=True)])
-
-
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    first = pdf[pdf.segment == 1]
-    if first.empty:
-        raise ValueError("a record's first segment is missing")
-    r = first.astype(object).where(first.notna(), None).iloc[0]
-    block = assemble([(int(n), None if pd.isna(t) else int(t), b) for n, t, b in zip(pdf.segment, pdf.total, pdf.block, strict=True)])
-    return _pages([_page(r.page_id, r.url, r.type, r.refers_to, r.digest, block)])
-
-
-def read_archives(spark, path: str) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_digest, record_type and refers_to of the records under path."""
+        cells = (pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("origin", "segment", "total", "block", "page_id", "url", "payload_digest", "record_type", "refers_to"))
+        for row in zip(*cells, strict=True):
+            if row[0] != origin:
+                if held:
+                    size += finish()
+                    if size > 4_000_000:
+                        yield _typed(out, columns)
+                        out.clear()
+                        size = 0
+                origin, held = row[0], []
+            held.append(row)
+    if held:
+        finish()
+    yield _typed(out, columns)
+
+
+def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
+    """page_id, url, payload (null for revisits, or without payloads), payload_bytes, payload_digest, record_type and refers_to
+    of the records under path."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    parsed = files.mapInPandas(_parsed, _PARSED)
-    whole = parsed.filter("segment is null").mapInPandas(_whole, _PAGE)
-    cut = parsed.filter("segment is not null").withColumn("_of", F.coalesce("origin", "record_id")).groupBy("_of").applyInPandas(lambda p: _group(p), _PAGE)
-    return whole.unionByName(cut)
+    parsed = materialize(files.mapInPandas(lambda b: slim(_parsed(b, payloads)), _PARSED), "parsed-records")
+    columns = [c.split()[0] for c in _PAGE.split(", ")]
+    cut = parsed.filter("origin is not null").repartition(n_partitions(spark), "origin").sortWithinPartitions("origin", "segment")
+    joined = cut.mapInPandas(lambda b: slim(_segments(b, payloads)), _PAGE)
+    return parsed.filter("origin is null").select(*columns).unionByName(joined)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -255,8 +283,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     write_archives(pages, path, id_col, url_col, payload_col)
     if not pages.head(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    back = read_archives(spark, path)
-    back = materialize(back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"), "records")
+    back = materialize(read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
     # a revisit's payload is that of the response it refers to
     sizes = back.filter("record_type = 'response'").groupBy(F.col("page_id").alias("to"), F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("size"))
     revisits = back.filter("record_type = 'revisit'").join(sizes, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("of")), "left")
