@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import pretok
-from tidemark.llm.common import chunks, n_partitions, pack, unpack, varint_decode, varint_encode
+from tidemark.llm.common import chunks, materialize, n_partitions, pack, slim, small_batches, trim, unpack, varint_decode, varint_encode, whole
 
 PACKED = "shard int, chunk long, digest long, blob binary"
 _COLUMNS = ["shard", "chunk", "digest", "blob"]
@@ -174,6 +175,7 @@ def _ids(coded: pd.DataFrame, sequence: pd.DataFrame) -> pd.DataFrame:
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    trim()
     pdf = pd.DataFrame(rows, columns=["_id", *columns])
     pdf["_id"] = pdf["_id"].astype("Int64")
     return pdf
@@ -181,13 +183,14 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 def _through_words(docs: DataFrame, function, schema: str, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     """function(a chunk's words with ids, its positions) over all chunks."""
+    small_batches(docs.sparkSession)
     n = n_partitions(docs.sparkSession)
     shards = min(n, 1024)
     salts = max(1, n // shards)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).sortWithinPartitions("_id", "_text")
-    words = rows.mapInPandas(lambda b: _words(b, shards), PACKED).repartition(n, "shard", F.pmod("chunk", F.lit(salts)))
-    coded = words.mapInPandas(lambda b: _encode_words(b, path, pattern), PACKED)
-    sequences = rows.mapInPandas(_sequences, PACKED)
+    words = rows.mapInPandas(lambda b: slim(_words(b, shards)), PACKED).repartition(n, "shard", F.pmod("chunk", F.lit(salts)))
+    coded = words.mapInPandas(lambda b: slim(_encode_words(b, path, pattern)), PACKED)
+    sequences = rows.mapInPandas(lambda b: slim(_sequences(b)), PACKED)
     both = coded.groupBy("chunk", "digest").cogroup(sequences.groupBy("chunk", "digest"))
     return both.applyInPandas(function, schema).withColumnRenamed("_id", id_col)
 
@@ -198,16 +201,27 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return _through_words(docs, _ids, "_id long, ids array<bigint>", path, pattern, id_col, text_col)
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column decoded (binary): the bytes of its ids (null for null), by the token-byte table, which
-    every task loads from the vocabulary file. Ids outside the table raise."""
+def token_table(spark, path: str) -> DataFrame:
+    """(_token, _piece): the token-byte table, bounded by the vocabulary."""
+    table = pa.table({"_token": pa.array(range(len(token_bytes(path))), pa.int64()), "_piece": pa.array(token_bytes(path), pa.binary())})
+    return spark.createDataFrame(table)
 
-    @F.pandas_udf(T.BinaryType())
-    def joined(ids: pd.Series) -> pd.Series:
-        table = token_bytes(path)
-        return pd.Series([None if x is None else b"".join([table[i] for i in x]) for x in ids], dtype=object)
 
-    return encoded.withColumn("decoded", joined(F.col(ids_col)))
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """encoded with a column decoded (binary): the bytes of its ids (null for null), by a join of ids and positions with the
+    token-byte table, put in order again by position. An id outside the table raises."""
+    spark = encoded.sparkSession
+    rows = materialize(encoded.select(whole(encoded).alias("_doc"), F.col(f"`{ids_col}`").alias("_ids")).withColumn("_at", F.monotonically_increasing_id()), "to-decode")
+    each = rows.select("_at", F.posexplode("_ids").alias("_pos", "_token"))
+    piece = F.coalesce("_piece", F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(F.col("_token").cast("string"), F.lit("null")))).cast("binary"))
+    joined = each.join(F.broadcast(token_table(spark, path)), "_token", "left").select("_at", "_pos", piece.alias("_piece"))
+    # in pieces of up to 4096 tokens, so that no list of single tokens is as long as a document
+    parts = joined.groupBy("_at", F.shiftright("_pos", 12).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("_pos", "_piece"))).alias("_list"))
+    text = lambda c: F.unhex(F.array_join(F.transform(c, lambda x: F.hex(x["_piece"])), ""))
+    parts = parts.select("_at", F.col("_part").alias("_pos"), text(F.col("_list")).alias("_piece"))
+    whole_texts = parts.groupBy("_at").agg(text(F.sort_array(F.collect_list(F.struct("_pos", "_piece")))).alias("decoded"))
+    empty = F.when(F.col("_ids").isNotNull(), F.lit(b""))
+    return rows.join(whole_texts, "_at", "left").select("_doc.*", F.coalesce("decoded", empty).alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
