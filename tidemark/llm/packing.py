@@ -28,7 +28,7 @@ from tidemark.llm.common import chunks, slim, small_batches
 WINDOW = 2048
 END_ID = 1
 #: Bytes of text tokenized at once.
-PART_BYTES = 1_000_000
+PART_BYTES = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -188,7 +188,6 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, window: int, end_id: int)
             out += packer.place(None if pd.isna(doc) else int(doc), np.concatenate((ids, end)))
         yield _frame(out)
     yield _frame(packer.close())
-    _tokenizer.cache_clear()
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
