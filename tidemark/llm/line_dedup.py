@@ -6,11 +6,13 @@ document with a smaller id, or earlier in the same document. So of a passage tha
 common line alone stays everywhere unless it has MIN_WORDS words.
 
 1. Winnowing: of each run the line with the least hash is its fingerprint (the leftmost of equal ones), so that equal
-   runs share fingerprints at the same place, and neighbouring runs mostly share one.
-2. Positions are joined by fingerprint: only runs whose fingerprint stands in two places at least go on.
-3. Matches are extended both ways from the fingerprint to the whole run (by two hashes of 64 bits of its lines), each
-   distinct run finds its first place by a partially aggregated minimum, and later places are joined back. Matching
-   runs that overlap make up the maximal repeated run.
+   runs share fingerprints at the same place, and neighbouring runs mostly share one. Only the places of fingerprints
+   are kept, about every second line.
+2. Places are joined by fingerprint: only those whose fingerprint stands in two places at least go on.
+3. From such a place matches are extended both ways, to each run that it is the fingerprint of: as far as the run goes
+   before it and behind it, other places match if the lines there are equal (by two hashes of 64 bits). Each distinct
+   extent finds its first place by a partially aggregated minimum, and later places are joined back. Matching runs that
+   overlap make up the maximal repeated run.
 4. The lines of later repeated runs are deleted.
 
 No step makes pairs of places, so a run that a third of all documents have costs one row per place. Places are counted by
@@ -40,9 +42,10 @@ def _split(text):
     return F.split(text.cast("string"), "\n", -1)
 
 
-def runs(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Of rows (_key, _ord, _text): _key, _ord, at (number of the run's first line among those not blank), lines (the run's
-    line numbers), fp (hash of its fingerprint line), fp_at, a and b (hashes of the run)."""
+def fingerprints(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of rows (_key, _ord, _text), one row per place of a fingerprint: _key, _ord, fp_at (its number among the lines not
+    blank), fp (its hash) and runs, those that it is the fingerprint of, from the first to the last: at (number of the
+    run's first line among those not blank), lines (the run's line numbers), a and b (hashes of the run)."""
     lines = F.transform(_split(F.col("_text")), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.trim(x) == "", _words(x).alias("w")))
     full = F.filter(lines, lambda x: ~x["col4"])
     arrays = rows.select("_key", "_ord", full.alias("_lines"))
@@ -57,25 +60,40 @@ def runs(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
             size = F.coalesce(size, F.when(enough & (k + m <= F.size("_lines")), F.lit(m)))
         return F.struct(k.alias("at"), F.slice("_lines", k + 1, size).alias("part"))
 
+    field = lambda part, f: F.transform(part, lambda x: x[f])
+
+    def marked(r):
+        h = field(r["part"], "h")
+        return F.struct(r["at"].alias("at"), r["part"].alias("part"), (r["at"] + F.array_position(h, F.array_min(h)).cast("int") - 1).alias("fp_at"))
+
+    # a run never ends before that of the line ahead: the runs found are those of the first lines, and fp_at never falls
     found = F.filter(F.transform(F.sequence(F.lit(0), n - 1), run), lambda r: r["part"].isNotNull())
-    each = arrays.filter(n > 0).select("_key", "_ord", F.explode(found).alias("r")).select("_key", "_ord", "r.at", "r.part")
-    field = lambda f: F.transform("part", lambda x: x[f])
-    least = F.array_min(field("h"))
-    return each.select(
-        "_key", "_ord", "at", field("i").alias("lines"), least.alias("fp"), (F.col("at") + F.array_position(field("h"), least).cast("int") - 1).alias("fp_at"),
-        F.xxhash64(field("h")).alias("a"), F.xxhash64(F.lit(2), field("g")).alias("b"),
+    windows = arrays.filter(n > 0).select("_key", "_ord", F.transform(found, marked).alias("_runs"))
+    own = lambda r: F.filter(F.slice("_runs", r["at"] + 1, min_lines), lambda q: q["fp_at"] == r["fp_at"])
+    first = F.filter("_runs", lambda r: (r["at"] == 0) | (F.get("_runs", r["at"] - 1)["fp_at"] < r["fp_at"]))
+    each = windows.select("_key", "_ord", F.explode(F.transform(first, own)).alias("_own"))
+    extents = F.transform(
+        "_own",
+        lambda r: F.struct(
+            r["at"].alias("at"), field(r["part"], "i").alias("lines"),
+            F.xxhash64(field(r["part"], "h")).alias("a"), F.xxhash64(F.lit(2), field(r["part"], "g")).alias("b"),
+        ),
     )
+    head = F.get("_own", F.lit(0))
+    return each.select("_key", "_ord", head["fp_at"].alias("fp_at"), F.array_min(field(head["part"], "h")).alias("fp"), extents.alias("runs"))
 
 
 def later_lines(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """_key, _ord and _gone (numbers of the lines to delete) of the rows (_key, _ord, _text) that lose any."""
-    every = materialize(runs(rows, min_lines, min_words), "runs")
+    every = materialize(fingerprints(rows, min_lines, min_words), "fingerprints")
     place = F.struct("_key", "_ord", "fp_at")
     prints = every.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("_n")).filter("low <> high").select("fp", "_n")
-    met = materialize(fair_join(every, materialize(prints, "prints"), ["fp"], "left_semi", every.count()), "met-runs")
+    met = materialize(fair_join(every, materialize(prints, "prints"), ["fp"], "left_semi", every.count()), "met-places")
+    extended = met.select("_key", "_ord", F.inline("runs"))
     start = F.struct("_key", "_ord", "at")
-    first = met.groupBy("a", "b").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("_n")).filter("first <> last").drop("last")
-    later = fair_join(met, materialize(first, "first-runs"), ["a", "b"], "inner", met.count()).filter(F.struct("_key", "_ord", "at") > F.col("first"))
+    first = extended.groupBy("a", "b").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("_n")).filter("first <> last").drop("last")
+    total = met.agg(F.sum(F.size("runs"))).first()[0] or 0
+    later = fair_join(extended, materialize(first, "first-runs"), ["a", "b"], "inner", total).filter(F.struct("_key", "_ord", "at") > F.col("first"))
     # a partial aggregate: overlapping runs of a document meet here
     return later.select("_key", "_ord", F.explode("lines").alias("i")).groupBy("_key", "_ord").agg(F.collect_set("i").alias("_gone"))
 
