@@ -127,6 +127,20 @@ def fair_join(rows: DataFrame, table: DataFrame, on: list[str], how: str, total:
     return rows.join(hot, on, how).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined to table, one row a key whose other columns may be large. A key with more than a partition's fair share
+    of rows is copied to as many tasks as it has shares of them (so at most twice as many copies as there are
+    partitions), and its rows are dealt to these by a hash of all their columns; nothing but such keys is broadcast."""
+    n, total = n_partitions(rows.sparkSession), rows.count()
+    shares = F.least(F.ceil(F.col("_n") * n / F.lit(max(total, 1))), F.col("_n")).cast("int")
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") * n > total).select(key, shares.alias("_copies"))
+    hot = F.broadcast(materialize(hot, "hot-keys"))
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), copies).cast("int")).drop("_copies")
+    copied = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def prime_from(n: int) -> int:
     """The smallest prime that is at least n."""
     n = max(n, 2)

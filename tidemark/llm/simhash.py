@@ -47,10 +47,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     last = min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(start[:n].tolist(), end[last : last + n].tolist(), strict=True)], np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the 64-bit hashes have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
 def signed(x: int) -> int:
