@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import pickle
 import tempfile
@@ -78,6 +79,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the actions inside go at the end of each action. Otherwise they stay until the driver happens to
+    collect garbage, and a method of many steps holds the shuffles of all of them. Only for steps that are written or
+    counted once: a result that is returned unread must be built outside."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove an intermediate table that nothing will read again."""
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
