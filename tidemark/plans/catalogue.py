@@ -114,8 +114,8 @@ def wal_replay(spark, d):
 
 
 def _stored(spark, d) -> VersionedTable:
-    """events written to a table on storage in three parts: two flushed, the last one in the log."""
-    t = VersionedTable(spark, scratch(spark), compaction_threshold=4)
+    """events written to a table on storage in three parts: two flushed, the last one in the log, however large it is."""
+    t = VersionedTable(spark, scratch(spark), memtable_limit=None, compaction_threshold=4)
     e = table(spark, d, "events")
     ops = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.when(F.col("event_type") != "error", F.concat("event_type", F.col("event_id").cast("string"))).alias("value"), F.col("event_id").alias("seq"))
     top = e.agg(F.max("event_id")).first()[0] or 0
