@@ -143,6 +143,19 @@ def test_bloom(spark):
     assert got.filter("k like 'absent%' and maybe = 1").count() < 120
 
 
+def test_bloom_of_rows_whose_order_differs_each_time(spark):
+    def shuffled(batches):
+        for pdf in batches:
+            yield pdf.sample(frac=1, random_state=random.SystemRandom().randrange(2**31))
+
+    bits, hashes = sketch.bloom_size(500, 0.001)
+    words = sketch.bloom_words(spark.range(500).selectExpr("cast(id as string) k"), F.col("k"), bits, hashes)
+    probes = spark.range(0, 1000, 1, 2).selectExpr("id", "cast(if(id % 100 = 99, null, id % 800) as string) k").mapInPandas(shuffled, "id long, k string")
+    got = {r.id: (r.k, r.maybe) for r in sketch.bloom_probe(probes, F.col("k"), words, bits, hashes, limit=0).collect()}
+    want = {r.id: (r.k, r.maybe) for r in sketch.bloom_probe(probes, F.col("k"), words, bits, hashes).collect()}
+    assert got == want and len(got) == 1000 and got[99] == (None, 0) and all(got[i][1] for i in range(500) if i % 100 != 99)
+
+
 def test_sequences(spark):
     schema = live.OPS
     ops = [(1, "ins", 1, "A", "", None, "h"), (1, "ins", 2, "A", "1:A", None, "e"), (1, "ins", 3, "A", "2:A", None, "i"), (1, "ins", 4, "B", "1:A", None, "X"), (1, "ins", 9, "B", "8:Z", None, "lost")]

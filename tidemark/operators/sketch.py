@@ -106,18 +106,20 @@ def _has(word: Column, pos: Column) -> Column:
 
 def bloom_probe(df: DataFrame, key: Column, words: DataFrame, bits: int, hashes: int, limit: int = BROADCAST_BITS) -> DataFrame:
     """df with maybe (0 or 1): whether all bits of its key are set (0 for a null key)."""
-    asked = df.withColumn("_pos", W.bloom_positions(key, bits, hashes))
     if bits <= limit:
+        asked = df.withColumn("_pos", W.bloom_positions(key, bits, hashes))
         empty = df.sparkSession.range(-(-bits // 64)).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
         dense = words.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
         one = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("_words"))
         all_set = F.forall("_pos", lambda p: _has(F.get("_words", F.shiftright(p, 6).cast("int")), p))
         probed = asked.crossJoin(F.broadcast(one))  # one row of at most limit bits
         return probed.select(*df.columns, F.coalesce(all_set, F.lit(False)).cast("int").alias("maybe"))
-    marked = asked.withColumn("_row", F.monotonically_increasing_id())
-    each = marked.select("_row", F.explode("_pos").alias("pos")).withColumn("word", F.shiftright("pos", 6).cast("int"))
-    found = each.join(words, "word", "left").groupBy("_row").agg(F.min(F.coalesce(_has(F.col("bits"), F.col("pos")), F.lit(False)).cast("int")).alias("maybe"))
-    return marked.join(found, "_row", "left").select(*df.columns, F.coalesce("maybe", F.lit(0)).alias("maybe"))
+    # joined back by the key: a row number made twice differs wherever the order of rows does, as after a shuffle
+    keyed = df.withColumn("_key", key)
+    each = keyed.select("_key").filter("_key is not null").distinct().withColumn("_pos", W.bloom_positions(F.col("_key"), bits, hashes))
+    each = each.select("_key", F.explode("_pos").alias("pos")).withColumn("word", F.shiftright("pos", 6).cast("int"))
+    found = each.join(words, "word", "left").groupBy("_key").agg(F.min(F.coalesce(_has(F.col("bits"), F.col("pos")), F.lit(False)).cast("int")).alias("maybe"))
+    return keyed.join(found, "_key", "left").select(*df.columns, F.coalesce("maybe", F.lit(0)).alias("maybe"))
 
 
 def bloom_save(words: DataFrame, bits: int, hashes: int, path: str) -> None:
