@@ -80,7 +80,7 @@ def test_versioned_table(spark, tmp_path):
 def test_stored_queries_on_parts_beyond_the_memtable(spark, tmp_path):
     kind = "CASE WHEN i % 7 = 3 THEN 'error' ELSE 'purchase' END"
     duckdb.sql(f"COPY (SELECT i AS event_id, i % 40000 AS user_id, {kind} AS event_type, i / 2.0 AS value FROM range(100001) t(i)) TO '{tmp_path}/events.parquet'")
-    for name in ("table_replay", "table_scan"):
+    for name in ("table_replay", "table_runs", "table_scan"):
         found = catalogue.queries()[name](spark, str(tmp_path))
         want = duckdb.sql(catalogue.oracle_sql()[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet'"))
         assert rows(found.select(*want.columns).collect()) == rows(want.fetchall()), name
