@@ -86,6 +86,36 @@ def test_stored_queries_on_parts_beyond_the_memtable(spark, tmp_path):
         assert rows(found.select(*want.columns).collect()) == rows(want.fetchall()), name
 
 
+ODD_EVENTS = {
+    "no user": "SELECT i, if(i % 10 = 0, NULL, i % 40) FROM range(301) t(i)",
+    "no id": "SELECT if(i % 11 = 0, NULL, i), if(i % 11 = 0, 100 + i, i % 40) FROM range(301) t(i)",
+    "first part empty": "SELECT i, i % 40 FROM range(150, 301) t(i)",
+    "bounds rounded in doubles": "SELECT unnest([5, 100000000000000001, 300000000000000000]), unnest([1, 2, 3])",
+}
+
+
+@pytest.mark.parametrize("name", ODD_EVENTS)
+def test_stored_queries_on_odd_events(spark, tmp_path, name):
+    kind = "CASE WHEN event_id % 7 = 3 THEN 'error' ELSE 'purchase' END"
+    duckdb.sql(f"COPY (SELECT event_id, user_id, {kind} AS event_type, 0.5 AS value FROM ({ODD_EVENTS[name]}) t(event_id, user_id)) TO '{tmp_path}/events.parquet'")
+    for name in ("table_replay", "table_runs", "table_scan", "table_mutations"):
+        found = catalogue.queries()[name](spark, str(tmp_path))
+        want = duckdb.sql(catalogue.oracle_sql()[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet'"))
+        assert rows(found.select(*want.columns).collect()) == rows(want.fetchall()), name
+
+
+def test_flush_as_a_given_generation(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.flush(1)  # nothing to flush
+    t.put("a", "1")
+    t.flush(2)
+    t.put("a", "2")
+    with pytest.raises(ValueError):
+        t.flush(2)
+    t.flush()
+    assert sorted(map(tuple, t.run_sizes().collect())) == [(2, 1), (3, 1)] and t.get("a") == b"2"
+
+
 def test_wrapping_arithmetic(spark):
     xs = [0, 1, -1, 2**62, -(2**63), 123456789123456789]
     df = spark.createDataFrame([(x,) for x in xs], "x long")

@@ -114,16 +114,19 @@ def wal_replay(spark, d):
 
 
 def _stored(spark, d) -> VersionedTable:
-    """events written to a table on storage in three parts: two flushed, the last one in the log, however large it is."""
+    """events written to a table on storage in three parts: two flushed, the last one in the log, however large it is. A run
+    has its part's number from 1, also after an empty part; events without an id are the oldest, in the first part."""
     t = VersionedTable(spark, scratch(spark), memtable_limit=None, compaction_threshold=4)
     e = table(spark, d, "events")
-    ops = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.when(F.col("event_type") != "error", F.concat("event_type", F.col("event_id").cast("string"))).alias("value"), F.col("event_id").alias("seq"))
-    top = e.agg(F.max("event_id")).first()[0] or 0
+    low, top = e.agg(F.min("event_id"), F.max("event_id")).first()
+    seq = F.coalesce("event_id", F.lit((low or 0) - 1))
+    third = F.try_divide((F.col("event_id") * 3).cast("double"), F.lit(float(top or 0)))  # in doubles as in SQL
+    part = F.greatest(F.lit(0), F.ceil(third) - 1)  # a null is skipped
+    ops = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.when(F.col("event_type") != "error", F.concat("event_type", F.col("event_id").cast("string"))).alias("value"), seq.alias("seq"), part.alias("part"))
     for k in range(3):
-        # a table numbers on from its last entry, so each part's own numbers start anew
-        t.write(ops.filter((F.col("seq") * 3 > top * k) & (F.col("seq") * 3 <= top * (k + 1)) | ((F.col("seq") <= 0) & F.lit(k == 0))))
+        t.write(ops.filter(F.col("part") == k if k < 2 else F.col("part") >= k))
         if k < 2:
-            t.flush()
+            t.flush(k + 1)
     return t
 
 
@@ -158,7 +161,7 @@ def table_mutations(spark, d):
     t.delete("u2")
     t.close()
     t = VersionedTable(spark, t.path)
-    live = t.scan().agg(F.count("*").alias("n_live"))
+    live = t.scan().agg(F.count("key").alias("n_live"))
     return live.select(F.lit(t.run_count()).alias("n_runs"), "n_live", F.lit((t.get("u1") or b"").decode()).alias("u1"))
 
 
